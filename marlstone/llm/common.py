@@ -6,11 +6,29 @@ import getpass
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_MADE: dict[str, object] = {}
+
+
+def once(broadcast, make: Callable) -> Callable:
+    """A function that makes ``make(*broadcast.value)`` once in each worker process and keeps the last few."""
+    key = uuid.uuid4().hex
+
+    def get():
+        if key not in _MADE:
+            if len(_MADE) >= 2:
+                _MADE.clear()
+            _MADE[key] = make(*broadcast.value)
+        return _MADE[key]
+
+    return get
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is named."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/marlstone-{getpass.getuser()}"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.llm import exact_dedup
+import public_tokenizers
+
+from marlstone.llm import bpe, exact_dedup, packing, sharding, token_counts, toxicity
 from marlstone.session import table
 
 
@@ -10,5 +12,26 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_packing, op6_sharding, op7_byte_bpe, op10_token_counts)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from marlstone.llm import bpe, exact_dedup, packing, sharding, token_counts, toxicity
+from marlstone.llm import bpe, exact_dedup, near_dedup, packing, sharding, token_counts, toxicity
 from marlstone.session import table
 
 
@@ -21,6 +21,10 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_packing, op6_sharding, op7_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_packing, op5_near_dedup, op6_sharding, op7_byte_bpe, op10_token_counts)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}

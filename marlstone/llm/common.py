@@ -48,6 +48,7 @@ class Scratch:
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.path}/{tag}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()  # lets Spark drop the shuffle files of plans that are done
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:

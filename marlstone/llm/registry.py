@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from marlstone.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, sharding, token_counts, toxicity
+from marlstone.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
 from marlstone.session import table
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,5 +45,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_packing, op5_near_dedup, op6_sharding, op7_byte_bpe, op9_embedding_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_toxicity, op4_packing, op5_near_dedup, op6_sharding, op7_byte_bpe, op9_embedding_dedup, op10_token_counts)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}

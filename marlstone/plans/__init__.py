@@ -1 +1,3 @@
-"""See the README for what lives here."""
+"""Queries over the driver's tables: importing this package registers them."""
+
+from marlstone.plans import relational, scalars  # noqa: F401

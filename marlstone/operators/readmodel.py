@@ -97,7 +97,8 @@ def hits_by_path(hits: DataFrame, items: DataFrame, most: int = HITS) -> DataFra
 
 def official_chinese(alternates: Column) -> Column:
     """The best of an array of (language, url): by preference, else any simplified one; never traditional."""
-    ranked = [F.get(F.filter(alternates, lambda a, tag=tag: a["language"] == tag), F.lit(0)) for tag in ZH_PREFERENCE]
+    first = lambda tag: F.get(F.filter(alternates, lambda a: a["language"] == tag), F.lit(0))
+    ranked = [first(tag) for tag in ZH_PREFERENCE]
     return F.coalesce(*ranked, F.get(F.filter(alternates, lambda a: a["language"].startswith("zh-hans")), F.lit(0)))
 
 

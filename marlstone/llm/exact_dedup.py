@@ -55,19 +55,29 @@ def _common(label: bytes, data: bytes, at: int) -> int:
     return low
 
 
+def _pickled(file) -> Iterator[tuple[bytes, list]]:
+    file.seek(0)
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            return
+
+
 class RadixTrie:
     """Compressed trie over byte strings; terminal nodes store (smallest id, largest id, rows).
 
     With ``limit``, subtrees below the root go to files of ``folder`` once the labels take more
-    bytes than that, the largest first. Later strings of a spilled subtree are appended to its
-    file. ``records`` reads each file back into a trie that starts one byte deeper, which may
-    spill again: distinct strings part somewhere, and equal ones take one node, so it ends.
+    bytes than that, the largest with several strings first. Later strings of a spilled subtree
+    are appended to its file. ``records`` reads each file back into a trie that starts where its
+    strings part, which may spill again; a string by itself is never spilled, so it ends.
     """
 
     def __init__(self, limit: int | None = None, folder: str | None = None, depth: int = 0):
         self.limit, self.folder, self.depth = limit, folder, depth
         self.root, self.size = _Node(b"", None), 0
         self.sizes: dict[int, int] = {}
+        self.strings: dict[int, int] = {}
         self.files: dict[int, object] = {}
 
     def insert(self, data: bytes, record: list) -> None:
@@ -76,11 +86,18 @@ class RadixTrie:
         if (file := self.files.get(branch)) is not None:
             pickle.dump((data, record), file, -1)
             return
+        self._place(node, at, data, record, branch)
+        if self.limit is not None and self.size > self.limit and (several := [b for b, n in self.strings.items() if n > 1]):
+            self._spill(max(several, key=self.sizes.get))
+
+    def _place(self, node: _Node, at: int, data: bytes, record: list, branch: int) -> None:
+        end = len(data)
         while at < end:
             kid = node.kids.get(data[at])
             if kid is None:
                 node.kids[data[at]] = _Node(data[at:], record)
                 self._grow(branch, end - at)
+                self.strings[branch] = self.strings.get(branch, 0) + 1
                 return
             label = kid.label
             if not data.startswith(label, at):
@@ -93,14 +110,16 @@ class RadixTrie:
                 kid = fork
                 label = fork.label
             node, at = kid, at + len(label)
-        node.record = record if node.record is None else _merge(node.record, record)
+        if node.record is None:
+            node.record = record
+            self.strings[branch] = self.strings.get(branch, 0) + (branch >= 0)
+        else:
+            node.record = _merge(node.record, record)
 
     def _grow(self, branch: int, n: int) -> None:
         n += 200  # a node's own memory
         self.size += n
         self.sizes[branch] = self.sizes.get(branch, 0) + n
-        if self.limit is not None and self.size > self.limit:
-            self._spill(max(self.sizes, key=self.sizes.get))
 
     def _spill(self, branch: int) -> None:
         self.files[branch] = file = tempfile.TemporaryFile(dir=self.folder)
@@ -109,6 +128,7 @@ class RadixTrie:
             # the path above this trie's depth is not kept; it is written as it will be read
             pickle.dump((b"\0" * self.depth + data, record), file, -1)
         self.size -= self.sizes.pop(branch)
+        del self.strings[branch]
 
     @staticmethod
     def _walk(top: _Node, prefix: bytes) -> Iterator[tuple[bytes, list]]:
@@ -126,15 +146,15 @@ class RadixTrie:
         self.root, self.size = _Node(b"", None), 0
         for branch in list(self.files):
             with self.files.pop(branch) as file:
-                file.seek(0)
-                deeper = RadixTrie(self.limit, self.folder, self.depth + 1)
-                while True:
-                    try:
-                        data, record = pickle.load(file)
-                    except EOFError:
-                        break
+                depth = None
+                for data, _ in _pickled(file):
+                    if depth is None:
+                        one, depth = data, len(data)
+                    depth = self.depth + 1 + _common(one[self.depth + 1 : depth], data, self.depth + 1)
+                deeper = RadixTrie(self.limit, self.folder, depth)
+                for data, record in _pickled(file):
                     deeper.insert(data, record)
-            yield from deeper.records(prefix + bytes([branch]))
+            yield from deeper.records(prefix + one[self.depth : depth])
 
 
 def _map_tries(limit: int) -> Callable:

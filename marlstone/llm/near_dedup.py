@@ -8,7 +8,7 @@ sets confirm them.
 Rows with the same shingle set are one node from the start. Within a bucket of a band only the
 pairs with the bucket's first and last node are candidates, so a bucket of n nodes gives 2n pairs.
 Pairs that this leaves out matter only where they would join two components; a second round
-compares, block by block, the registers of all nodes that share a bucket but not a component.
+compares, block by block, all nodes that share a bucket but not a component.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ MARGIN = 0.25
 #: Sets smaller than this share registers, so that their estimates vary more; they're always verified.
 SMALL = 512
 #: Nodes of a bucket that are compared at once in the second round.
-BLOCK = 1024
+BLOCK = 512
 
 _REMEMBERED = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -194,39 +194,63 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, lo, hi): plausible pairs of nodes in different components.
+    """Rows (key, lo, hi, own, node, part, sketch, hashes), sorted by (key, lo, hi): links (a, b) between parts.
 
     A run holds one block of a bucket (lo = hi), whose nodes are compared among each other, or
-    two, which are compared with each other.
+    two, which are compared with each other. A pair is looked at in the first band that it shares;
+    its estimate rules it out or its full sets decide. What a link joins is not compared any more,
+    so a run gives fewer links than it has nodes.
     """
 
-    def pairs(run: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def links(run: list[tuple]) -> Iterator[pa.RecordBatch]:
         side = np.array([r[3] == r[1] for r in run])
-        node, part, n = (np.array([r[k] for r in run], np.int64) for k in (4, 5, 6))
-        sketch = np.frombuffer(b"".join(r[7] for r in run), np.uint16).reshape(-1, REGISTERS)
+        node, part = (np.array([r[k] for r in run], np.int64) for k in (4, 5))
+        sketch = np.frombuffer(b"".join(r[6] for r in run), np.uint16).reshape(-1, REGISTERS)
+        bands = sketch.view(np.uint64)
+        band = int(np.flatnonzero(band_keys(sketch[0]) == run[0][0])[0])
+        n = np.array([len(r[7]) // 8 for r in run])
         within = run[0][1] == run[0][2]
-        a, b = [], []
+        marks = None
+        out: list[tuple[int, int]] = []
         for i in range(len(run)):
-            others = np.arange(i + 1, len(run)) if within else np.flatnonzero(~side) if side[i] else ()
+            open_ = part != part[i]
+            open_ &= np.arange(len(run)) > i if within else side != side[i]
+            others = np.flatnonzero(open_) if within or side[i] else np.zeros(0, np.int64)
+            others = others[100 * np.minimum(n[others], n[i]) >= SIMILAR * np.maximum(n[others], n[i])]
+            others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
             if not len(others):
                 continue
-            others = others[part[others] != part[i]]
             same = (sketch[others] == sketch[i]).sum(axis=1)
-            found = others[_plausible(same, np.full(len(others), n[i]), n[others])] if len(others) else others
-            a.extend(np.minimum(node[found], node[i]).tolist())
-            b.extend(np.maximum(node[found], node[i]).tolist())
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            fit = _plausible(same, np.full(len(others), n[i]), n[others])
+            others = others[fit][np.argsort(-same[fit], kind="stable")]
+            if not len(others):
+                continue
+            if marks is None:
+                every, places = np.unique(np.frombuffer(b"".join(r[7] for r in run), np.uint64), return_inverse=True)
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                marks = np.zeros(len(every), bool)
+            mine = places[cuts[i] : cuts[i + 1]]
+            marks[mine] = True
+            for j in others:
+                if part[j] != part[i]:
+                    both = int(marks[places[cuts[j] : cuts[j + 1]]].sum())
+                    if 100 * both >= SIMILAR * (n[i] + n[j] - both):
+                        out.append((node[i], node[j]))
+                        part[part == part[j]] = part[i]
+            marks[mine] = False
+        if out:
+            a, b = np.array(out).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     run: list[tuple] = []
     for batch in batches:
         for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             if run and run[0][:3] != row[:3]:
-                yield from pairs(run)
+                yield from links(run)
                 run = []
             run.append(row)
     if run:
-        yield from pairs(run)
+        yield from links(run)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +273,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = scratch.save(shared, "shared")
     ends = bands.join(shared, "key")
     pairs = ends.select(F.col("low").alias("a"), F.col("node").alias("b")).union(ends.select(F.col("node").alias("a"), F.col("high").alias("b"))).where("a < b").distinct()
-    links = scratch.save(_verified(pairs, nodes, docs, id_col, text_col, scratch, "first"), "links-first")
+    links = scratch.save(_verified(pairs, nodes, docs, id_col, text_col, scratch), "links-first")
     parts = components(links, scratch, "parts-first")
 
     member = bands.join(shared.select("key", "members"), "key").join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("part"))
@@ -257,9 +281,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_keys = member.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     spread = member.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part").join(nodes.select("node", "n", "sketch"), "node")
-    rest = spread.select("key", "lo", "hi", "own", "node", "part", "n", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare_blocks, "a long, b long").distinct()
-    more = scratch.save(_verified(rest, nodes, docs, id_col, text_col, scratch, "second", thin=False), "links-second")
+    spread = scratch.save(spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part"), "spread")
+    sets = _node_sets(spread.select("node").distinct(), nodes, docs, id_col, text_col, scratch, "second")
+    rest = spread.join(nodes.select("node", "sketch"), "node").join(sets, "node").select("key", "lo", "hi", "own", "node", "part", "sketch", "hashes")
+    rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare_blocks, "a long, b long").distinct()
+    more = scratch.save(rest, "links-second")
     if more.limit(1).count():
         parts = components(links.union(more), scratch, "parts-second")
 
@@ -272,19 +298,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, tag: str, thin: bool = True) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
-    if thin:
-        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        pairs = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_thin, "a long, b long")
-    pairs = scratch.save(pairs, f"pairs-{tag}")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(used, "node").select("node", "digest", F.col("source.doc_id").alias("_id"), F.col("source.text_key").alias("_key"))
+def _node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, tag: str) -> DataFrame:
+    """(node, hashes): the full sets of the wanted nodes, from one text of each."""
+    wanted = nodes.join(wanted, "node").select("node", "digest", F.col("source.doc_id").alias("_id"), F.col("source.text_key").alias("_key"))
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(data).alias("_text_key"), data.alias("_text"))
     held = texts.join(wanted, (F.col("_text_key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("node", "digest", "_text")
-    sets = scratch.save(held.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), f"sets-{tag}")
+    return scratch.save(held.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), f"sets-{tag}")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    pairs = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_thin, "a long, b long")
+    pairs = scratch.save(pairs, "pairs")
+    sets = _node_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs, id_col, text_col, scratch, "first")
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "hb").mapInArrow(_confirm, "a long, b long")

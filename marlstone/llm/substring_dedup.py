@@ -87,16 +87,19 @@ def _texts(length: int):
         """Rows (doc, key, text, runs): (gram, run, doc, key, first), with each run's text."""
         for batch in batches:
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lists = batch.column(3)
+            cuts = lists.offsets.to_numpy()
+            fields = [lists.values.field(name).to_numpy() for name in ("gram", "first", "last")]
             rows: list[tuple] = []
             size = 0
-            for k, runs in enumerate(batch.column(3).to_pylist()):
+            for k in range(len(docs)):
                 text = batch.column(2)[k].as_py()
-                for run in runs:
-                    rows.append((run["gram"], text[run["first"] : run["last"] + length], docs[k], keys[k], run["first"]))
-                    size += len(rows[-1][1])
-                if size > 8 << 20:
-                    yield _text_batch(rows)
-                    rows, size = [], 0
+                for gram, first, last in zip(*(x[cuts[k] : cuts[k + 1]].tolist() for x in fields), strict=True):
+                    rows.append((gram, text[first : last + length], docs[k], keys[k], first))
+                    size += last + length - first
+                    if size > 8 << 20:
+                        yield _text_batch(rows)
+                        rows, size = [], 0
             if rows:
                 yield _text_batch(rows)
 

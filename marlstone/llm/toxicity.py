@@ -26,6 +26,8 @@ BUCKETS = 1 << 18
 PER_CLASS = 6_000
 #: Rows of the fit's sample that a bucket must occur in to be given weights.
 LEAST_ROWS = 8
+#: Steps of the fit at least, however few rows there are.
+LEAST_STEPS = 400
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
 
@@ -109,6 +111,7 @@ def fit_machine(rows: list[list[int]], labels: np.ndarray, factors: int = 4, epo
     place[at] = np.arange(len(at))
     kept = [p[p >= 0] for p in (place[np.asarray(r, np.int64)] for r in rows)]
     random = np.random.default_rng(seed)
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(kept)))
     w, v = np.zeros(len(at)), random.normal(0, 0.01, (len(at), factors))
     w_sum, v_sum, b_sum = np.full(len(at), 1e-2), np.full((len(at), factors), 1e-2), 1e-2
     for _ in range(epochs):

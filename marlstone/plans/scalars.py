@@ -135,10 +135,13 @@ def integrity_gate(spark, d):
     return gate.gate(rows).select("doc_id", F.explode("issues").alias("i")).select("doc_id", "i.code")
 
 
-@query("gate_passed", f"SELECT count(*) AS passed FROM (SELECT doc_id, replace({_PLAIN}, 'x', 'x') AS p FROM {_DOCS}) WHERE length(p) >= 200 AND doc_id % 6 NOT IN (1, 2) AND FALSE")
+@query("gate_passed", f"""
+WITH g AS (SELECT doc_id, {_PLAIN} AS p, {_BARE} AS b FROM (SELECT doc_id, replace(md, '](img', '](https://x.com/img') AS md FROM {_DOCS}))
+SELECT doc_id FROM g WHERE length(p) >= 200 AND doc_id % 5 <> 0 AND NOT regexp_matches(b, '(?i)lorem ipsum') AND NOT regexp_matches(b, '\\[[^\\]]*\\]\\(\\s*\\)')""")
 def gate_passed(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.lit("t").alias("title"), F.col("md").alias("content_markdown"), F.lit("2024-05-06").alias("published_at"))
-    return gate.gate(rows).where("passed").agg(F.count(F.lit(1)).alias("passed"))
+    body = F.replace("md", F.lit("](img"), F.lit("](https://x.com/img"))
+    rows = _docs(spark, d).select("doc_id", F.lit("t").alias("title"), body.alias("content_markdown"), F.when(F.col("doc_id") % 5 == 0, "soon").otherwise("2024-05-06").alias("published_at"))
+    return gate.gate(rows).where("passed").select("doc_id")
 
 
 @query("image_urls", f"SELECT doc_id, ['img' || doc_id || '.png'] AS urls FROM {_DOCS}")

@@ -241,7 +241,7 @@ def run_errors_first50(spark, d):
     return state.close_runs(_outcomes(spark, d)).where("failed > 0").select("source_id", "errors")
 
 
-@query("run_totals", f"SELECT sum(discovered) AS discovered, sum(pending) AS pending, sum(processed) AS processed, sum(failed) AS failed FROM ({_RUNS})")
+@query("run_totals", f"SELECT CAST(sum(discovered) AS BIGINT) AS discovered, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(failed) AS BIGINT) AS failed FROM ({_RUNS})")
 def run_totals(spark, d):
     return state.total(state.close_runs(_outcomes(spark, d))).drop("sources")
 

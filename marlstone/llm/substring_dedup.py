@@ -29,31 +29,27 @@ LENGTH = 100
 #: Bytes of text that are sorted together where the grams allow it; one gram's texts are never parted.
 SORTED_BYTES = 2 << 20
 
+#: Bits of a packed place that hold the number of windows after the first; a gram is chosen by fewer than that.
+_WIDTH = 20
+
 
 def _chosen(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (digest, doc, text), sorted: the runs of each distinct text, read at its first row."""
-        before = None
+        """Rows (doc, key, text): (gram, key, doc, at) for each run of windows; ``at`` packs its first and its length."""
         for batch in batches:
-            digests = batch.column(0).to_pylist()
-            docs = batch.column(1).to_pylist()
-            texts = batch.column(2)
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[list[np.ndarray]] = [[], [], [], []]
             size = 0
-            for k, digest in enumerate(digests):
-                if digest == before:
-                    continue
-                before = digest
-                h, first, last = minimizers(texts[k].as_py(), length)
-                key = int.from_bytes(digest[:8], "big", signed=True)
-                for column, x in zip(out, (h.view(np.int64), np.full(len(h), docs[k]), np.full(len(h), key), first, last), strict=True):
+            for k, text in enumerate(batch.column(2)):
+                h, first, last = minimizers(text.as_py(), length)
+                for column, x in zip(out, (h.view(np.int64), np.full(len(h), keys[k]), np.full(len(h), docs[k]), (first << _WIDTH) | (last - first)), strict=True):
                     column.append(x)
                 size += len(h)
                 if size > 100_000:
-                    yield _ints(out, ("gram", "doc", "key", "first", "last"))
-                    out, size = [[], [], [], [], []], 0
+                    yield _ints(out, ("gram", "key", "doc", "at"))
+                    out, size = [[], [], [], []], 0
             if size:
-                yield _ints(out, ("gram", "doc", "key", "first", "last"))
+                yield _ints(out, ("gram", "key", "doc", "at"))
 
     return run
 
@@ -63,23 +59,31 @@ def _ints(columns: list[list[np.ndarray]], names: tuple[str, ...]) -> pa.RecordB
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram: those whose gram occurs twice or more."""
-    held, told = None, False
+    """Rows sorted by (gram, key, at, doc): of equal places in equal texts the first, if the gram has another place."""
+    held = None  # the last place, which may be its gram's only one so far
+    told = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        gram = batch.column(0).to_numpy()
+        gram, key, doc, at = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+        if held is not None and (gram[0], key[0], at[0]) == (held[0], held[1], held[3]):
+            new[0] = False
+        gram, key, doc, at = (x[new] for x in (gram, key, doc, at))
+        if not len(gram):
+            continue
         same = np.zeros(len(gram), bool)
         same[1:] = gram[1:] == gram[:-1]
         keep = same.copy()
         keep[:-1] |= same[1:]
-        if held is not None and held.column(0)[0].as_py() == gram[0]:
+        if held is not None and held[0] == gram[0]:
             keep[0] = True
             if not told:
-                yield held
+                yield _ints([[np.array([x])] for x in held], ("gram", "key", "doc", "at"))
         if keep.any():
-            yield batch.filter(pa.array(keep))
-        held, told = batch.slice(len(gram) - 1), bool(keep[-1])
+            yield _ints([[x[keep]] for x in (gram, key, doc, at)], ("gram", "key", "doc", "at"))
+        held, told = (gram[-1], key[-1], doc[-1], at[-1]), bool(keep[-1])
 
 
 def _texts(length: int):
@@ -89,14 +93,15 @@ def _texts(length: int):
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lists = batch.column(3)
             cuts = lists.offsets.to_numpy()
-            fields = [lists.values.field(name).to_numpy() for name in ("gram", "first", "last")]
+            fields = [lists.values.field(name).to_numpy() for name in ("gram", "at")]
             rows: list[tuple] = []
             size = 0
             for k in range(len(docs)):
                 text = batch.column(2)[k].as_py()
-                for gram, first, last in zip(*(x[cuts[k] : cuts[k + 1]].tolist() for x in fields), strict=True):
-                    rows.append((gram, text[first : last + length], docs[k], keys[k], first))
-                    size += last + length - first
+                for gram, at in zip(*(x[cuts[k] : cuts[k + 1]].tolist() for x in fields), strict=True):
+                    first, more = at >> _WIDTH, at & ((1 << _WIDTH) - 1)
+                    rows.append((gram, text[first : first + more + length], docs[k], keys[k], first))
+                    size += more + length
                     if size > 8 << 20:
                         yield _text_batch(rows)
                         rows, size = [], 0
@@ -230,12 +235,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     scratch = scratch or Scratch(docs.sparkSession, "substring")
     rows = _rows(docs, id_col, text_col)
-    distinct = rows.where(F.octet_length("text") >= length).select("digest", "doc", "text").repartition("digest").sortWithinPartitions("digest", "doc")
-    chosen = distinct.mapInArrow(_chosen(length), "gram long, doc long, key long, first long, last long")
-    twice = scratch.save(chosen.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda it: _repeated(it), "gram long, doc long, key long, first long, last long"), "repeated")
-    wanted = twice.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))  # a text's own runs
     key = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
-    texts = rows.select("doc", key.alias("key"), "text").where(F.octet_length("text") >= length)
+    texts = rows.where(F.octet_length("text") >= length).select("doc", key.alias("key"), "text")
+    chosen = texts.mapInArrow(_chosen(length), "gram long, key long, doc long, at long")
+    twice = scratch.save(chosen.repartition("gram").sortWithinPartitions("gram", "key", "at", "doc").mapInArrow(lambda it: _repeated(it), "gram long, key long, doc long, at long"), "repeated")
+    wanted = twice.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "at")).alias("runs"))  # a text's own runs
     held = texts.join(wanted, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("doc", "key", "text", "runs")
     runs = held.mapInArrow(_texts(length), "gram long, run binary, doc long, key long, first long")
     sorted_runs = runs.repartition("gram").sortWithinPartitions("gram", "run", "doc", "key", "first")

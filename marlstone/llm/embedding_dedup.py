@@ -4,8 +4,9 @@ Vectors of a label are dealt to overlapping cluster shards. Each shard builds a
 node keeps the neighbours that robust pruning leaves; a node's lists from all its shards are
 united. Every vector then searches its shards: greedily from the shard's medoid, and from where it
 stands itself, until nothing nearer is found, and from there through all nodes within the range.
-Cosines in double precision decide; a sample held against brute force audits the recall, and more
-overlap is taken where it falls short.
+What is too large for a shard and too tight to part is compared exactly, block against block.
+Cosines in double precision decide; a sample held against brute force audits the recall, more
+overlap is taken where it falls short, and everything is compared exactly where that isn't enough.
 """
 
 from __future__ import annotations
@@ -28,9 +29,13 @@ OVERLAPS = (3, 5, 8)
 DEGREE, CANDIDATES, SLACK, BEAM = 24, 64, 1.2, 24
 #: Sampled queries of the audit, and the recall it asks for.
 AUDITED, RECALL = 256, 0.95
-#: Levels of splitting; what is still too large then is split by hash.
+#: Levels of splitting; what is still too large then is compared exactly.
 LEVELS = 6
+#: Vectors of a block of the exact comparison.
+BLOCK = 8000
 _SALT = 20_000
+#: How the names of shards begin; exact ones come first, so that a pair which has both kinds counts in an exact one.
+_EXACT, _GRAPH = "0/", "1/"
 
 
 def _unit(lists: pa.Array) -> np.ndarray:
@@ -130,15 +135,28 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], start: list[int], q: np
     return np.flatnonzero(inside)
 
 
-def _assign(overlap: int):
+def _assign(overlap: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (place, kind, shard, node, k, vector): centres come before members in each place."""
+        """Rows (place, kind, shard, node, k, vector): centres come before members in each place.
+
+        Centres within the range of one before are left out, so that what is linked with all of a
+        cluster stays in one shard. With fewer than two for each overlap, the shard is not split
+        but marked as exact; every place of a shard sees the same centres.
+        """
         for rows in _runs(batches):
             kind = np.array(rows["kind"].to_pylist())
             x = _unit(rows["vector"])
             centre, member = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
             shard = rows["shard"][0].as_py()
             nodes = rows["node"].to_numpy()[member]
+            apart: list[int] = []
+            for k in centre.tolist():
+                if not apart or (x[apart] @ x[k]).max() < cosine:
+                    apart.append(k)
+            centre = np.array(apart, np.int64)
+            if len(centre) < 2 * overlap:
+                yield pa.RecordBatch.from_arrays([pa.array([_EXACT + shard[len(_GRAPH) :]] * len(nodes), pa.string()), pa.array(nodes)], names=["shard", "node"])
+                continue
             for low in range(0, len(member), 4096):
                 some = member[low : low + 4096]
                 near = np.argsort(-(x[some] @ x[centre].T), axis=1, kind="stable")[:, : min(overlap, len(centre))]
@@ -148,16 +166,20 @@ def _assign(overlap: int):
     return run
 
 
-def _shards(vectors: DataFrame, scratch: Scratch, overlap: int) -> DataFrame:
-    """(shard, node): every vector in the shards of its nearest centres, no shard above MOST."""
-    members = vectors.select(F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string")).alias("shard"), "node")
-    members = scratch.save(members, f"members-{overlap}-0")
+def _whole(vectors: DataFrame, kind: str) -> DataFrame:
+    """(shard, node): a shard of the kind for each label and length."""
+    return vectors.select(F.concat_ws(":", F.concat(F.lit(kind), F.col("label").cast("string")), F.size("vector").cast("string")).alias("shard"), "node")
+
+
+def _shards(vectors: DataFrame, scratch: Scratch, overlap: int, cosine: float) -> DataFrame:
+    """(shard, node): every vector in the shards of its nearest centres, no shard of a graph above MOST."""
+    members = scratch.save(_whole(vectors, _GRAPH), f"members-{overlap}-0")
     for level in range(1, LEVELS + 1):
-        big = scratch.save(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > MOST), f"big-{overlap}-{level}")
+        big = scratch.save(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > MOST) & F.col("shard").startswith(_GRAPH)), f"big-{overlap}-{level}")
         if not big.limit(1).count():
             return members
         rows = members.join(big, "shard").join(vectors.select("node", "vector"), "node")
-        want = F.least(F.lit(CENTRES), F.greatest(F.lit(8), F.ceil(F.col("size") / AIM))).cast("int")
+        want = F.least(F.lit(CENTRES), F.greatest(F.lit(max(8, 2 * overlap)), F.ceil(F.col("size") / AIM))).cast("int")
         turn = F.xxhash64("node", F.lit(level))
         # a sample of about 4 * CENTRES vectors of each shard, whatever its size
         drawn = rows.where(F.pmod(turn, F.greatest(F.lit(1), F.floor(F.col("size") / (4 * CENTRES)))) == 0)
@@ -167,11 +189,11 @@ def _shards(vectors: DataFrame, scratch: Scratch, overlap: int) -> DataFrame:
         spread = spread.select(F.concat_ws("#", "shard", "salt").alias("place"), F.lit(0).alias("kind"), "shard", F.lit(-1).cast("long").alias("node"), F.posexplode("some").alias("k", "one"))
         spread = spread.select("place", "kind", "shard", "node", "k", F.col("one.vector").alias("vector"))
         dealt = rows.select(F.concat_ws("#", "shard", F.pmod(F.xxhash64("node"), salts)).alias("place"), F.lit(1).alias("kind"), "shard", "node", F.lit(0).alias("k"), "vector")
-        split = spread.union(dealt).repartition("place").sortWithinPartitions("place", "kind", "k", "node").mapInArrow(_assign(overlap if level == 1 else 2), "shard string, node long")
+        split = spread.union(dealt).repartition("place").sortWithinPartitions("place", "kind", "k", "node").mapInArrow(_assign(overlap, cosine), "shard string, node long")
         members = scratch.save(split.union(members.join(big, "shard", "left_anti")).distinct(), f"members-{overlap}-{level}")
-    big = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / MOST))
-    return members.join(big, "shard").select(F.when(F.col("size") > MOST, F.concat_ws("%", "shard", part)).otherwise(F.col("shard")).alias("shard"), "node")
+    big = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > MOST) & F.col("shard").startswith(_GRAPH)).select("shard", F.lit(True).alias("big"))
+    exact = F.concat(F.lit(_EXACT), F.substr("shard", F.lit(len(_GRAPH) + 1)))
+    return members.join(big, "shard", "left").select(F.when(F.col("big"), exact).otherwise(F.col("shard")).alias("shard"), "node")
 
 
 def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +245,54 @@ def _search(cosine: float):
     return run
 
 
+def _between(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (place, shard, side, node, copies, shards, vector): (node, links, root) of two blocks, or of one with itself."""
+        for rows in _runs(batches):
+            here = rows["shard"][0].as_py()
+            side, nodes, copies = (rows[c].to_numpy() for c in ("side", "node", "copies"))
+            x = _unit(rows["vector"])
+            others = rows["shards"].to_pylist()
+            before = {s: k for k, s in enumerate(sorted({s for some in others for s in some if s < here}))}
+            shares = np.zeros((len(nodes), len(before)), np.float32)
+            for k, some in enumerate(others):
+                shares[k, [before[s] for s in some if s < here]] = 1
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if side.any() else left
+            alone = right is left
+            links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+            for low in range(0, len(left), 512):
+                some = left[low : low + 512]
+                hit = x[some] @ x[right].T >= cosine
+                hit &= some[:, None] != right[None, :]
+                for k, row in zip(some.tolist(), hit, strict=True):
+                    linked = np.append(right[row], k)
+                    roots = np.unique(root[linked])
+                    if len(roots) > 1:
+                        root[np.isin(root, roots)] = roots[0]
+                if before:
+                    hit &= shares[some] @ shares[right].T == 0
+                links[some] += hit @ copies[right]
+                if not alone:
+                    links[right] += copies[some] @ hit
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[root])], names=["node", "links", "root"])
+
+    return run
+
+
+def _exact(members: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
+    """(node, links, root) of the exact shards: each pair of blocks meets at one place."""
+    shards = members.groupBy("node").agg(F.collect_list("shard").alias("shards"))
+    held = members.where(F.col("shard").startswith(_EXACT))
+    sizes = held.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = held.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    rows = rows.select("shard", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.concat_ws("#", "shard", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(pair.alias("place"), "shard", (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
+    rows = rows.join(shards, "node").join(vectors.select("node", "vector", "copies"), "node").select("place", "shard", "side", "node", "copies", "shards", "vector")
+    return rows.repartition("place").sortWithinPartitions("place", "side", "node").mapInArrow(_between(cosine), "node long, links long, root long")
+
+
 def brute_links(vectors: DataFrame, queries: list[tuple], cosine: float = COSINE) -> DataFrame:
     """(node, links): links of the given (node, label, vector) queries against all rows, in blocks.
 
@@ -272,13 +342,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     # the audit's queries: a sample in hashed order, of a fixed size
     sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDITED).select("node", "label", "vector").collect()
     truth = {r["node"]: r["links"] for r in brute_links(nodes, [tuple(r) for r in sample], cosine).collect()}
-    for overlap in overlaps:
-        members = scratch.save(_shards(nodes, scratch, overlap), f"members-{overlap}")
-        whole = members.join(nodes.select("node", "vector"), "node").select("shard", "node", "vector")
+    for overlap in (*overlaps, None):  # None: everything exactly
+        members = _whole(nodes, _EXACT) if overlap is None else _shards(nodes, scratch, overlap, cosine)
+        members = scratch.save(members, f"members-{overlap}")
+        whole = members.where(F.col("shard").startswith(_GRAPH)).join(nodes.select("node", "vector"), "node").select("shard", "node", "vector")
         built = scratch.save(whole.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(lambda it: _graphs(it), "shard string, node long, medoid boolean, near array<long>"), f"built-{overlap}")
-        united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.sort_array(F.collect_list("shard")).alias("shards"))
-        asked = built.select("shard", "node", "medoid").join(united, "node").join(nodes.select("node", "vector", "copies"), "node")
+        united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        shards = members.groupBy("node").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+        asked = built.select("shard", "node", "medoid").join(united, "node").join(shards, "node").join(nodes.select("node", "vector", "copies"), "node")
         found = asked.select("shard", "node", "vector", "copies", "medoid", "near", "shards").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_search(cosine), "node long, links long, root long")
+        if members.where(F.col("shard").startswith(_EXACT)).limit(1).count():
+            found = found.union(_exact(members, nodes, cosine))
         found = scratch.save(found, f"found-{overlap}")
         links = scratch.save(found.groupBy("node").agg(F.sum("links").alias("links")), f"links-{overlap}")
         got = links.where(F.col("node").isin(list(truth) or [-1])).agg(F.sum("links")).first()[0] or 0

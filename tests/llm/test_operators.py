@@ -381,3 +381,33 @@ def test_embedding_dedup(spark, monkeypatch):
     assert report["recall"] >= 0.9 and all(split[k][0] <= want[k][0] for k in want)
     assert sum(s[0] for s in split.values()) >= 0.9 * sum(w[0] for w in want.values())
     assert embedding_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_embedding_dedup_large_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(2, 16))
+    tight = [(k, middle[k % 2] + rng.normal(size=16) * 0.02, 1) for k in range(600)]
+    loose = [(1000 + k, rng.normal(size=16), 1) for k in range(300)]
+    rows = [(k, [float(x) for x in v], label) for k, v, label in tight + loose]
+    schema = "vec_id long, embedding array<double>, label int"
+    want = want_of(rows)
+    assert want[0][0] >= 299
+    run = lambda some, **more: {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.near_vectors(spark.createDataFrame(some, schema), **more).collect()}
+    for name, value in (("MOST", 100), ("AIM", 40), ("BLOCK", 70)):
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    # two clusters of 300 that no shard of 100 holds: split off and compared whole
+    report = {}
+    got = run(rows, report=report)
+    assert report["recall"] >= embedding_dedup.RECALL and report["overlap"] is not None
+    assert all(got[k] == want[k] for k in range(600))
+    # nothing but a tight cluster
+    assert run(rows[:600]) == want_of(rows[:600])
+    # an audit that no overlap satisfies
+    monkeypatch.setattr(embedding_dedup, "RECALL", 1.0)
+    assert run(rows, overlaps=(), report=report) == want and report["recall"] == 1
+
+
+def want_of(rows):
+    links, parts = brute_vectors(rows)
+    n = Counter(k for pair in links for k in pair)
+    return {r[0]: (n[r[0]], parts[r[0]], parts[r[0]] == r[0]) for r in rows}

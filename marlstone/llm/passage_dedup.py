@@ -7,6 +7,11 @@ ascend in both documents, each adds its words and pays for the gap before it, an
 over the owner's positions finds the best match to continue from. The chains' words are aligned,
 gap by gap and outwards from the ends; a passage counts from 50 words and three quarters of equal
 words on.
+
+The seeds of one passage may have different owners. So every window of 50 words whose seeds all occur
+elsewhere, and which no passage without edits covers, is compared by its own hash with all earlier
+windows: an equal passage is found whichever documents own its seeds. A passage with edits is found
+where one owner has enough of its seeds.
 """
 
 from __future__ import annotations
@@ -259,16 +264,90 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, owner, chains, text, source): the passages of a document with one owner."""
+    """Rows (node, owner, chains, text, source): the passages of a document with one owner, and whether every word is equal."""
     for batch in batches:
         found = []
         nodes, owners, several = (batch.column(k).to_pylist() for k in range(3))
         for k, some in enumerate(several):
             a, b = (words_of(batch.column(c)[k].as_py()) for c in (3, 4))
             for chain in some:
-                found.extend((nodes[k], owners[k], *passage) for passage in align(a, b, list(zip(chain["xs"], chain["ys"], strict=True))))
+                for x0, x1, y0, y1 in align(a, b, list(zip(chain["xs"], chain["ys"], strict=True))):
+                    found.append((nodes[k], x0, x1, a[x0:x1] == b[y0:y1]))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["node", "source", "start", "end", "source_start", "source_end"])
+            *places, equal = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in places), pa.array(equal, pa.bool_())], names=["node", "start", "end", "equal"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, at), sorted: (node, places) of the seeds that occur elsewhere; a document may come in several rows."""
+    for batch in batches:
+        if batch.num_rows:
+            node, at = (c.to_numpy() for c in batch.columns)
+            new = np.concatenate([[True], (node[1:] != node[:-1]) | (at[1:] != at[:-1])])
+            node, at = node[new], at[new]
+            cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            places = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)), pa.int32()), pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(node[cut]), places], names=["node", "places"])
+
+
+def open_windows(data: bytes, places: np.ndarray, covered: list[tuple[int, int]], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the windows of PASSAGE words that may occur elsewhere and that ``covered`` doesn't hold.
+
+    Only seeds whose neighbourhood lies inside a window count: an equal window has the same ones.
+    """
+    words = words_of(data)
+    if len(words) < PASSAGE:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = windows(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), PASSAGE)
+    _, at = seeds(data, known)
+    lone = at[~np.isin(at, places)]
+    shut = np.zeros(len(keys) + 1, np.int64)
+    near, far = NEIGHBOURS - 1, PASSAGE - WORDS - NEIGHBOURS + 1
+    np.add.at(shut, np.clip(lone - far, 0, len(keys)), 1)
+    np.add.at(shut, np.clip(lone - near + 1, 0, len(keys)), -1)
+    free = np.cumsum(shut)[:-1] == 0
+    for a, b in covered:
+        free[a : max(a, b - PASSAGE + 1)] = False
+    starts = np.flatnonzero(free)
+    return keys[starts], starts
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, places, covered, text): (key, node, at) of the open windows."""
+    known = WordHashes()
+    for batch in batches:
+        nodes = batch.column(0).to_pylist()
+        for k, covered in enumerate(batch.column(2).to_pylist()):
+            places = np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in batch.column(1)[k])])
+            keys, at = open_windows(batch.column(3)[k].as_py(), places, [(c["start"], c["end"]) for c in covered or []], known)
+            if len(at):
+                yield _ints([[keys.view(np.int64)], [np.full(len(at), nodes[k])], [at]], ("key", "node", "at"))
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, at), sorted: (node, at) of every window but the first with its key."""
+    held = None  # key, first node, its place
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node, at = (c.to_numpy() for c in batch.columns)
+        new = np.concatenate([[held is None or held[0] != key[0]], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        owner, owner_at = np.where(first >= 0, node[first], held[1] if held else 0), np.where(first >= 0, at[first], held[2] if held else 0)
+        held = (key[-1], owner[-1], owner_at[-1])
+        later = (node != owner) | (at != owner_at)  # a repeated row has its windows at their own places
+        if later.any():
+            yield _ints([[node[later]], [at[later]]], ("node", "at"))
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, at), sorted: (node, start, end) of the words that the windows hold."""
+    for batch in batches:
+        if batch.num_rows:
+            node, at = (c.to_numpy() for c in batch.columns)
+            cut = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (at[1:] > at[:-1] + PASSAGE)]))
+            last = np.append(cut[1:], len(at)) - 1
+            yield _ints([[node[cut]], [at[cut]], [at[last] + PASSAGE]], ("node", "start", "end"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,13 +390,16 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
 
 
 def passages(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, source, start, end, source_start, source_end), in words, over rows (node, text)."""
+    """(node, start, end), in words, over rows (node, text)."""
     found = rows.select("node", "text").mapInArrow(_seeds, "seed long, node long, at long")
     matches = found.repartition("seed").sortWithinPartitions("seed", "node", "at").mapInArrow(_matches, "node long, owner long, x long, y long")
     # a repeated row is the same document: its seeds match at their own places
     matches = scratch.save(matches.where("node <> owner or x <> y"), "matches")
     paired = matches.repartition("node", "owner").sortWithinPartitions("node", "owner", "x", "y").mapInArrow(_chains, "node long, owner long, xs array<long>, ys array<long>")
     chained = scratch.save(paired, "chains")
+    both = matches.select("node", F.col("x").alias("at")).union(matches.select(F.col("owner").alias("node"), F.col("y").alias("at")))
+    both = both.repartition("node").sortWithinPartitions("node", "at").mapInArrow(_places, "node long, places array<long>")
+    places = scratch.save(both, "places")
     scratch.drop("matches")
     texts = rows.select("node", "text").dropDuplicates(["node"])
     used = chained.select("node").union(chained.select(F.col("owner").alias("node"))).distinct()
@@ -325,7 +407,15 @@ def passages(rows: DataFrame, scratch: Scratch) -> DataFrame:
     several = chained.groupBy("node", "owner").agg(F.collect_list(F.struct("xs", "ys")).alias("chains"))  # of two documents
     source = texts.select(F.col("node").alias("owner"), F.col("text").alias("source"))
     ready = several.join(texts, "node").join(source, "owner").select("node", "owner", "chains", "text", "source")
-    return ready.mapInArrow(_align, "node long, source long, start long, end long, source_start long, source_end long")
+    aligned = scratch.save(ready.mapInArrow(_align, "node long, start long, end long, equal boolean"), "aligned")
+    scratch.drop("texts", "chains")
+    covered = aligned.where("equal").groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    held = places.groupBy("node").agg(F.collect_list("places").alias("places")).join(covered, "node", "left")  # a text's own
+    opened = held.join(rows.select("node", "text"), "node").select("node", "places", "covered", "text").mapInArrow(_windows, "key long, node long, at long")
+    again = scratch.save(opened.repartition("key").sortWithinPartitions("key", "node", "at").mapInArrow(_again, "node long, at long"), "again")
+    scratch.drop("places")
+    spans = again.repartition("node").sortWithinPartitions("node", "at").mapInArrow(_spans, "node long, start long, end long")
+    return aligned.select("node", "start", "end").union(spans)
 
 
 def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,7 +430,7 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(docs.sparkSession, "passages")
     rows = _numbered(docs, id_col, text_col, scratch)
     found = scratch.save(passages(rows, scratch), "passages")
-    scratch.drop("texts", "chains")
+    scratch.drop("aligned", "again")
     spans = found.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # a text's own passages
     ready = rows.join(spans, "node", "left").select("doc_id", "text_key", "text", "spans")
     cut = ready.mapInArrow(_cut, _CUT)
@@ -356,7 +446,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "cut")
     rows = _numbered(docs, id_col, text_col, scratch)
     found = scratch.save(passages(rows, scratch), "passages")
-    scratch.drop("texts", "chains")
+    scratch.drop("aligned", "again")
     spans = found.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     ready = rows.join(spans, "node").select("doc_id", "text_key", "text", "spans").dropDuplicates(["doc_id", "text_key"])
     kept = ready.mapInArrow(_cut, _CUT).select(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.col("kept").cast("string").alias("_cut_text"))

@@ -353,6 +353,32 @@ def test_passage_dedup(spark):
     assert len(cut[101]["text"].split()) == 70 and cut[101]["n_chars"] == len(cut[101]["text"])
 
 
+def test_passage_dedup_several_owners(spark):
+    rng = random.Random(11)
+    w = words(rng, 60).split()
+    pad = lambda a, some, b: " ".join([words(rng, a), *some, words(rng, b)])
+    base = [words(rng, 30).split() for _ in range(8)]
+    texts = {1: pad(20, w[:35], 20), 2: pad(20, w[25:], 20), 3: pad(20, w, 20), 4: pad(15, w, 30)}
+    for k in range(10, 60):  # parts of 30 words in all orders, so that a passage's seeds have many owners
+        parts = [x for j in rng.sample(range(4), 3) for x in base[j][rng.randint(0, 1) : rng.randint(29, 30)]]
+        texts[k] = pad(5, parts, 5)
+    docs = spark.createDataFrame([(k, text, None, None, None) for k, text in texts.items()], SCHEMA)
+    cut = {r["doc_id"]: r for r in passage_dedup.passage_dedup(docs).collect()}
+    assert cut[3]["n_removed"] == 0 and cut[4]["n_removed"] == 60
+    seen: set[tuple] = set()
+    checked = 0
+    for k in sorted(texts):
+        held = texts[k].split()
+        repeated = {j for s in range(len(held) - 49) if tuple(held[s : s + 50]) in seen for j in range(s, s + 50)}
+        left = [x for j, x in enumerate(held) if j not in repeated]
+        rest = iter(left)
+        assert all(x in rest for x in cut[k]["kept_text"].split()), k  # no word of an equal passage stays
+        assert cut[k]["n_removed"] >= len(repeated)
+        checked += bool(repeated)
+        seen |= {tuple(held[s : s + 50]) for s in range(len(held) - 49)}
+    assert checked >= 5
+
+
 def brute_vectors(rows):
     good = [(k, label, np.array(v, float)) for k, v, label in rows if label is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
     links = [(a, b) for i, (a, la, x) in enumerate(good) for b, lb, y in good[i + 1 :] if la == lb and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93]

@@ -87,15 +87,24 @@ def url_resolve(spark, d):
 _MD = "'# T' || doc_id || chr(10) || chr(10) || substring(text, 1, doc_id % 400) || chr(10) || '![a](img' || doc_id || '.png) [b](https://x.com/' || doc_id || ') `c`' || chr(10) || '| r | ' || doc_id || ' |' || chr(10) || '$x$ and $$y$$' || chr(10) || '```' || chr(10) || 'TODO {{ x }}' || chr(10) || '```' || chr(10) || CASE doc_id % 6 WHEN 0 THEN 'TODO later' WHEN 1 THEN 'Lorem Ipsum' WHEN 2 THEN '[e]()' WHEN 3 THEN '{{ slot }}' WHEN 4 THEN '文字汉字' ELSE '' END"
 
 
-def _markdown():
+def _markdown(text):
     i = F.col("doc_id").cast("string")
     nl = F.lit("\n")
     tail = F.when(F.col("doc_id") % 6 == 0, "TODO later").when(F.col("doc_id") % 6 == 1, "Lorem Ipsum").when(F.col("doc_id") % 6 == 2, "[e]()").when(F.col("doc_id") % 6 == 3, "{{ slot }}").when(F.col("doc_id") % 6 == 4, "文字汉字").otherwise("")
-    return F.concat(F.lit("# T"), i, nl, nl, F.expr("substring(text, 1, cast(doc_id % 400 as int))"), nl, F.lit("![a](img"), i, F.lit(".png) [b](https://x.com/"), i, F.lit(") `c`"), nl, F.lit("| r | "), i, F.lit(" |"), nl, F.lit("$x$ and $$y$$"), nl, F.lit("```"), nl, F.lit("TODO {{ x }}"), nl, F.lit("```"), nl, tail)
+    return F.concat(F.lit("# T"), i, nl, nl, text, nl, F.lit("![a](img"), i, F.lit(".png) [b](https://x.com/"), i, F.lit(") `c`"), nl, F.lit("| r | "), i, F.lit(" |"), nl, F.lit("$x$ and $$y$$"), nl, F.lit("```"), nl, F.lit("TODO {{ x }}"), nl, F.lit("```"), nl, tail)
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", _markdown().alias("md"))
+    return table(spark, d, "documents").select("doc_id", _markdown(F.expr("substring(text, 1, cast(doc_id % 400 as int))")).alias("md"))
+
+
+def _whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", _markdown(F.coalesce("text", F.lit(""))).alias("md"))
+
+
+def whole(name, f):
+    """Register ``f`` over Markdown of the whole texts, beside the query of prefixes that the SQL describes."""
+    query(f"{name}_whole")(lambda spark, d: f(spark, d, _whole))
 
 
 _WS = "[\\s\\x{00a0}\\x{3000}\\x{feff}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}]"
@@ -105,18 +114,18 @@ _DOCS = f"(SELECT doc_id, {_MD} AS md FROM documents)"
 
 
 @query("plain_text", f"SELECT doc_id, {_PLAIN} AS plain FROM {_DOCS}")
-def plain_text(spark, d):
-    return _docs(spark, d).select("doc_id", T.plain_text(F.col("md")).alias("plain"))
+def plain_text(spark, d, docs=_docs):
+    return docs(spark, d).select("doc_id", T.plain_text(F.col("md")).alias("plain"))
 
 
 @query("excerpt", f"SELECT doc_id, CASE WHEN length(p) > 180 THEN trim(substring(p, 1, 180)) || '…' ELSE p END AS excerpt FROM (SELECT doc_id, {_PLAIN} AS p FROM {_DOCS})")
-def excerpt(spark, d):
-    return _docs(spark, d).select("doc_id", T.excerpt(F.col("md")).alias("excerpt"))
+def excerpt(spark, d, docs=_docs):
+    return docs(spark, d).select("doc_id", T.excerpt(F.col("md")).alias("excerpt"))
 
 
 @query("content_stats", f"SELECT doc_id, len(regexp_extract_all(md, '\\$\\$[\\s\\S]*?\\$\\$|\\$[^$\\n]+\\$')) AS math, len(regexp_extract_all(md, '(?m)^\\s*\\|[^\\n]+\\|\\s*$')) AS tables, len(regexp_extract_all(md, '```')) / 2 AS code_blocks, len(regexp_extract_all(md, '!\\[[^\\]]*\\]\\([^)]*\\)')) AS images FROM {_DOCS}")
-def content_stats(spark, d):
-    s = _docs(spark, d).select("doc_id", T.content_stats(F.col("md")).alias("s"))
+def content_stats(spark, d, docs=_docs):
+    s = docs(spark, d).select("doc_id", T.content_stats(F.col("md")).alias("s"))
     return s.select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("math", "tables")], "s.code_blocks", F.col("s.images").cast("long").alias("images"))
 
 
@@ -130,32 +139,39 @@ i AS (SELECT doc_id, 'content-too-short' AS code FROM g WHERE length(p) < 200
  UNION ALL SELECT doc_id, 'empty-link' FROM g WHERE regexp_matches(b, '\\[[^\\]]*\\]\\(\\s*\\)')
  UNION ALL SELECT doc_id, 'image-url-not-absolute' FROM g)
 SELECT doc_id, code FROM i""")
-def integrity_gate(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.lit("t").alias("title"), F.col("md").alias("content_markdown"), F.when(F.col("doc_id") % 5 == 0, "0001-01-01").otherwise("2024-05-06").alias("published_at"))
+def integrity_gate(spark, d, docs=_docs):
+    rows = docs(spark, d).select("doc_id", F.lit("t").alias("title"), F.col("md").alias("content_markdown"), F.when(F.col("doc_id") % 5 == 0, "0001-01-01").otherwise("2024-05-06").alias("published_at"))
     return gate.gate(rows).select("doc_id", F.explode("issues").alias("i")).select("doc_id", "i.code")
 
 
 @query("gate_passed", f"""
 WITH g AS (SELECT doc_id, {_PLAIN} AS p, {_BARE} AS b FROM (SELECT doc_id, replace(md, '](img', '](https://x.com/img') AS md FROM {_DOCS}))
 SELECT doc_id FROM g WHERE length(p) >= 200 AND doc_id % 5 <> 0 AND NOT regexp_matches(b, '(?i)lorem ipsum') AND NOT regexp_matches(b, '\\[[^\\]]*\\]\\(\\s*\\)')""")
-def gate_passed(spark, d):
+def gate_passed(spark, d, docs=_docs):
     body = F.replace("md", F.lit("](img"), F.lit("](https://x.com/img"))
-    rows = _docs(spark, d).select("doc_id", F.lit("t").alias("title"), body.alias("content_markdown"), F.when(F.col("doc_id") % 5 == 0, "soon").otherwise("2024-05-06").alias("published_at"))
+    rows = docs(spark, d).select("doc_id", F.lit("t").alias("title"), body.alias("content_markdown"), F.when(F.col("doc_id") % 5 == 0, "soon").otherwise("2024-05-06").alias("published_at"))
     return gate.gate(rows).where("passed").select("doc_id")
 
 
 @query("image_urls", f"SELECT doc_id, ['img' || doc_id || '.png'] AS urls FROM {_DOCS}")
-def image_urls(spark, d):
-    return _docs(spark, d).select("doc_id", T.image_urls(F.col("md")).alias("urls"))
+def image_urls(spark, d, docs=_docs):
+    return docs(spark, d).select("doc_id", T.image_urls(F.col("md")).alias("urls"))
+
+
+for _f in (plain_text, excerpt, content_stats, integrity_gate, gate_passed, image_urls):
+    whole(_f.__name__, _f)
 
 
 @query("cjk_ratio_mode", "SELECT doc_id, round(c / (c + l), 9) AS ratio, CASE WHEN doc_id % 10 = 0 THEN 'official-zh' WHEN c / (c + l) >= 0.5 THEN 'native-zh' ELSE 'translate' END AS mode FROM (SELECT doc_id, len(regexp_extract_all(t, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{3000}-\\x{303f}]')) AS c, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM (SELECT doc_id, substring(text, 1, 30) || repeat('汉字，', CAST(doc_id % 13 AS INT)) || 'z' AS t FROM documents))")
-def cjk_ratio_mode(spark, d):
-    text = F.concat(F.substring("text", 1, 30), F.expr("repeat('汉字，', cast(doc_id % 13 as int))"), F.lit("z"))
+def cjk_ratio_mode(spark, d, own=None):
+    text = F.concat(F.substring("text", 1, 30) if own is None else F.coalesce(own, F.lit("")), F.expr("repeat('汉字，', cast(doc_id % 13 as int))"), F.lit("z"))
     # the ideographic comma of full width is outside the four ranges, the two signs are inside
     return table(spark, d, "documents").select("doc_id", F.round(T.cjk_ratio(text), 9).alias("ratio"), T.translation_mode(text, F.col("doc_id") % 10 == 0).alias("mode"))
 
 
+query("cjk_ratio_mode_whole")(lambda spark, d: cjk_ratio_mode(spark, d, "text"))
+
+
 @query("category_normalize", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['AI', 'Research'] WHEN 1 THEN ['Other'] WHEN 2 THEN ['Agent'] ELSE ['Other'] END AS categories FROM documents")
 def category_normalize(spark, d):
     k = F.col("doc_id") % 4

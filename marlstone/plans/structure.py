@@ -10,34 +10,40 @@ from marlstone.functions import markdown as M
 from marlstone.functions import text as T
 from marlstone.operators import readmodel
 from marlstone.plans.registry import query
-from marlstone.plans.scalars import _docs
+from marlstone.plans.scalars import _docs, whole
 from marlstone.session import table
 from marlstone.sources import corpus
 
 
 @query("protect_restore", "SELECT doc_id, TRUE AS same, CAST(NULL AS VARCHAR) AS error FROM documents")
-def protect_restore(spark, d):
-    held = _docs(spark, d).withColumn("p", M.protect_markdown(F.col("md")))
+def protect_restore(spark, d, docs=_docs):
+    held = docs(spark, d).withColumn("p", M.protect_markdown(F.col("md")))
     back = held.withColumn("r", M.restore_markdown(F.col("p.text"), F.col("p.spans")))
     bare = lambda c: F.regexp_replace(c, r"\s+", " ")
     return back.select("doc_id", (F.trim(bare(F.col("r.text"))) == F.trim(bare(F.col("md")))).alias("same"), "r.error")
 
 
 @query("chunk_markdown")
-def chunk_markdown(spark, d):
-    held = _docs(spark, d).withColumn("c", M.chunk_markdown(F.col("md")))
+def chunk_markdown(spark, d, docs=_docs):
+    held = docs(spark, d).withColumn("c", M.chunk_markdown(F.col("md")))
     return held.select("doc_id", F.col("c.error").alias("error"), F.explode_outer("c.chunks").alias("k")).select("doc_id", "error", "k.id", "k.tokens", "k.sha256", "k.oversized")
 
 
 @query("math_inventory", "SELECT doc_id, [sha256('x'), sha256('y')] AS formulas FROM documents WHERE NOT contains(substring(text, 1, CAST(doc_id % 400 AS INT)), '$')")
-def math_inventory(spark, d):
-    rows = _docs(spark, d).where("not contains(split_part(md, '![a]', 1), '$')")
+def math_inventory(spark, d, docs=_docs):
+    rows = docs(spark, d)
+    if docs is _docs:
+        rows = rows.where("not contains(split_part(md, '![a]', 1), '$')")
     return rows.select("doc_id", F.transform(M.math_of(F.col("md")), lambda m: m["sha256"]).alias("formulas"))
 
 
 @query("render_html")
-def render_html(spark, d):
-    return _docs(spark, d).select("doc_id", M.render_markdown(F.col("md")).alias("html"))
+def render_html(spark, d, docs=_docs):
+    return docs(spark, d).select("doc_id", M.render_markdown(F.col("md")).alias("html"))
+
+
+for _f in (protect_restore, chunk_markdown, math_inventory, render_html):
+    whole(_f.__name__, _f)
 
 
 @query("html_extract")

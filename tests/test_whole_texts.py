@@ -34,3 +34,16 @@ def test_whole_texts(spark, tmp_path):
     han = 18000 + 2 * (405 % 13)
     assert abs(ratio[405] - han / (han + latin)) < 1e-8
     assert "plain_text_whole" not in ORACLES
+
+
+def test_payload_validate_whole(spark, tmp_path):
+    spark.range(1, 106).selectExpr("id as doc_id", "'t' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["path"]) for r in QUERIES["payload_validate_whole"](spark, str(tmp_path)).collect())
+    want = []
+    for k in range(1, 106):
+        want += [(k, "articles[0].versions")] * (k % 3 == 1) + [(k, "articles[0].original_url")] * (k % 5 == 0)
+        want += [(k, "articles[1].original_url")] * (k % 35 == 0) + [(k, "articles[1]")] * (k % 7 == 0)
+    few = sorted((r["doc_id"], r["path"]) for r in QUERIES["payload_validate"](spark, str(tmp_path)).collect())
+    assert few == [x for x in got if x[1] != "articles[1].original_url"]
+    assert [x for x in got if x[1] == "articles[1].original_url"] == [(35, "articles[1].original_url"), (70, "articles[1].original_url"), (105, "articles[1].original_url")]
+    assert got == sorted(want)

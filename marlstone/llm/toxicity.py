@@ -95,32 +95,35 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def fit_machine(rows: list[list[int]], labels: np.ndarray, factors: int = 4, epochs: int = 14, batch: int = 256, rate: float = 0.1, lasso: float = 4e-4, ridge: float = 1e-4, seed: int = 7) -> Machine:
+def fit_machine(buckets: np.ndarray, cuts: np.ndarray, labels: np.ndarray, factors: int = 4, epochs: int = 14, batch: int = 256, rate: float = 0.1, lasso: float = 4e-4, ridge: float = 1e-4, seed: int = 7) -> Machine:
     """Fit by mini-batches of AdaGrad on the log loss, with soft thresholds on the weights.
 
-    Without both classes among the labels the machine has a bias alone: the smoothed share of label 1.
+    Row k has the buckets from ``cuts[k]`` to ``cuts[k + 1]``. Without both classes among the labels
+    the machine has a bias alone: the smoothed share of label 1.
     """
     weights, latent = np.zeros(BUCKETS), np.zeros((BUCKETS, factors))
     prior = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(prior / (1 - prior)))
     if not len(labels) or labels.min() == labels.max():
         return Machine(bias, weights, latent)
-    seen = np.bincount(np.concatenate([np.asarray(r, np.int64) for r in rows if len(r)] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
-    at = np.flatnonzero(seen >= LEAST_ROWS)
-    place = np.full(BUCKETS, -1)
+    at = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS) >= LEAST_ROWS)
+    place = np.full(BUCKETS, -1, np.int32)
     place[at] = np.arange(len(at))
-    kept = [p[p >= 0] for p in (place[np.asarray(r, np.int64)] for r in rows)]
+    places = place[buckets]
+    cuts = np.concatenate([[0], np.cumsum(places >= 0)])[cuts]
+    places = places[places >= 0]
+    rows = len(labels)
     random = np.random.default_rng(seed)
-    epochs = max(epochs, -(-LEAST_STEPS * batch // len(kept)))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // rows))
     w, v = np.zeros(len(at)), random.normal(0, 0.01, (len(at), factors))
     w_sum, v_sum, b_sum = np.full(len(at), 1e-2), np.full((len(at), factors), 1e-2), 1e-2
     for _ in range(epochs):
-        order = random.permutation(len(kept))
+        order = random.permutation(rows)
         for k in range(0, len(order), batch):
-            some = [kept[i] for i in order[k : k + batch]]
-            y = labels[order[k : k + batch]]
-            n = np.array([len(x) for x in some])
-            idx = np.concatenate(some)
+            some = order[k : k + batch]
+            y = labels[some]
+            n = cuts[some + 1] - cuts[some]
+            idx = places[np.repeat(cuts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             row = np.repeat(np.arange(len(some)), n)
             vi = v[idx]
             s = np.stack([np.bincount(row, vi[:, f], len(some)) for f in range(factors)], 1)
@@ -171,7 +174,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **columns: str) -> Machine:
     """A machine fitted on the driver to the bounded sample of ``training_rows``."""
     sample = training_rows(docs, labels, per_class, **columns).toArrow().sort_by([("doc_id", "ascending")])
-    return fit_machine(sample["buckets"].to_pylist(), sample["toxic"].to_numpy().astype(float))
+    lists = sample["buckets"].combine_chunks()
+    buckets, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    marks = sample["toxic"].to_numpy().astype(float)
+    del sample, lists
+    return fit_machine(buckets, cuts, marks)
 
 
 def score_texts(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

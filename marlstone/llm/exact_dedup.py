@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import keep_rows
+from marlstone.llm.common import Scratch, keep_rows, text_key
 
 #: Bytes of distinct text that a map task's trie holds before it hands its strings on.
 MAP_BYTES = 48 << 20
@@ -234,15 +234,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
     groups = exact_groups(docs, id_col, text_col, **limits).select("digest", F.col("high" if keep == "max" else "low").alias("keep_id"), F.col("n").alias("group_size"))
+    return _decided(docs, groups, id_col, text_col).drop("text_key")
+
+
+def _decided(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``exact_dedup``'s rows with the hash that names a text beside its id."""
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), text_key(text_col).alias("text_key"))
     # a group is one row, so a large group only makes a large left side, which AQE splits
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "text_key")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    return keep_rows(docs, exact_dedup(docs, id_col, text_col, keep).where("kept").select("doc_id"), id_col)
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, and one row for each text.
+
+    Of rows that repeat an id with its text one stays, whichever. Where only null ids have a text
+    one of their rows stays. An empty table gives an empty one.
+    """
+    groups = exact_groups(docs, id_col, text_col).select("digest", F.col("high" if keep == "max" else "low").alias("keep_id"), F.col("n").alias("group_size"))
+    kept = _decided(docs, groups, id_col, text_col).where("kept").select("doc_id", "text_key")
+    return keep_rows(docs, kept, Scratch(docs.sparkSession, "exact"), id_col, text_col)
 
 
 ORACLE = """

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import keep_rows, once
+from marlstone.llm.common import keep_ids, once
 
 #: Buckets of hashed terms.
 BUCKETS = 1 << 18
@@ -207,4 +207,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     scores = score_texts(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
     clean = scores.groupBy("doc_id").agg(F.max("predicted").alias("worst")).where("worst = 0").select("doc_id")
-    return keep_rows(docs, clean, id_col)
+    return keep_ids(docs, clean, id_col)

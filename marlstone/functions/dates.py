@@ -115,8 +115,13 @@ def valid_published(text: Column) -> Column:
 
 
 def resolve_published(*candidates: Column) -> Column:
-    """The first that isn't null or blank, in the order of trust."""
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates])
+    """The first that is a date, in its normal form and in the order of trust; an empty text without one."""
+    return F.coalesce(*[normalize_date(c) for c in candidates], F.lit(""))
+
+
+def first_date(candidates: Column) -> Column:
+    """As ``resolve_published``, over an array; null without a date."""
+    return F.get(F.filter(F.transform(candidates, normalize_date), lambda d: d.isNotNull()), F.lit(0))
 
 
 def sort_instant(text: Column) -> Column:

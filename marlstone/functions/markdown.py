@@ -11,6 +11,7 @@ import html
 import math
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 MAX_TOKENS, MAX_CHUNKS = 1200, 64
 
-_TOKEN = re.compile(r"⟦(?:URL|CODE|INLINE-CODE|HTML|MATH|INLINE-MATH):\d+⟧")
+# Fixed value: what a token looks like.
+_TOKEN = re.compile(r"\{\{BW:(?:url|code|inline-code|html|math|inline-math):\d+\}\}")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _INLINE = re.compile(
@@ -39,11 +41,17 @@ class Block:
     text: str
     depth: int = 0
     value: str = ""
+    start: int = 0  # its place in the source with Unix line ends
+
+
+def unix(text: str) -> str:
+    return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
 def blocks(markdown: str) -> list[Block]:
     """Top-level blocks in order; blank lines separate them, fences and math keep theirs."""
-    lines = markdown.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    lines = unix(markdown).split("\n")
+    begins = [0, *accumulate(len(line) + 1 for line in lines)]
     out: list[Block] = []
     k = 0
     while k < len(lines):
@@ -55,18 +63,18 @@ def blocks(markdown: str) -> list[Block]:
             end = k + 1
             while end < len(lines) and not re.match(rf"^ {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}\s*$", lines[end]):
                 end += 1
-            out.append(Block("code", "\n".join(lines[k : end + 1]), value="\n".join(lines[k + 1 : end])))
+            out.append(Block("code", "\n".join(lines[k : end + 1]), value="\n".join(lines[k + 1 : end]), start=begins[k]))
             k = end + 1
             continue
         if line.strip() == "$$":
             end = k + 1
             while end < len(lines) and lines[end].strip() != "$$":
                 end += 1
-            out.append(Block("math", "\n".join(lines[k : end + 1]), value="\n".join(lines[k + 1 : end])))
+            out.append(Block("math", "\n".join(lines[k : end + 1]), value="\n".join(lines[k + 1 : end]), start=begins[k]))
             k = end + 1
             continue
         if m := _HEADING.match(line):
-            out.append(Block("heading", line, len(m[1]), (m[2] or "").strip()))
+            out.append(Block("heading", line, len(m[1]), (m[2] or "").strip(), begins[k]))
             k += 1
             continue
         end = k + 1
@@ -82,7 +90,7 @@ def blocks(markdown: str) -> list[Block]:
             else "html" if re.match(r"</?[A-Za-z!]", first)
             else "paragraph"
         )
-        out.append(Block(kind, text, value=text if kind == "html" else ""))
+        out.append(Block(kind, text, value=text if kind == "html" else "", start=begins[k]))
         k = end
     return out
 
@@ -106,19 +114,21 @@ def _spans(block: Block) -> list[tuple[int, int, str]]:
 
 
 def protect(markdown: str) -> tuple[str, list[tuple[str, str, str]]]:
-    """(text, [(kind, token, value)]): each value replaced by a token of its own; a source with tokens is refused."""
-    if _TOKEN.search(markdown):
-        raise ValueError("the source holds reserved tokens")
-    spans, texts = [], []
-    for block in blocks(markdown):
-        parts, at = [], 0
-        for a, b, kind in _spans(block):
-            token = f"⟦{kind.upper()}:{len(spans)}⟧"
-            spans.append((kind, token, block.text[a:b]))
-            parts += [block.text[at:a], token]
-            at = b
-        texts.append("".join([*parts, block.text[at:]]))
-    return "\n\n".join(texts), spans
+    """(text, [(kind, token, value)]): each value replaced by a token of its own; a source with tokens is refused.
+
+    Everything else, blank lines included, stays as it is, but for line ends.
+    """
+    if m := _TOKEN.search(markdown):
+        raise ValueError(f"the source holds the reserved token {m[0]}")
+    source = unix(markdown)
+    places = [(block.start + a, block.start + b, kind) for block in blocks(source) for a, b, kind in _spans(block)]
+    spans, parts, at = [], [], 0
+    for n, (a, b, kind) in enumerate(places, 1):
+        token = "{{BW:%s:%d}}" % (kind, n)
+        spans.append((kind, token, source[a:b]))
+        parts += [source[at:a], token]
+        at = b
+    return "".join([*parts, source[at:]]), spans
 
 
 def restore(text: str, spans: list[tuple[str, str, str]]) -> str:
@@ -136,40 +146,88 @@ def tokens_of(text: str) -> int:
     return math.ceil(len(text) / 4)
 
 
-def chunks(markdown: str, most: int = MAX_TOKENS, count: int = MAX_CHUNKS) -> list[dict]:
-    """Chunks of whole blocks up to ``most`` tokens, anew at each heading; a larger block is one by itself."""
-    out: list[dict] = []
-    path: list[tuple[int, str]] = []
-    here: dict | None = None
-    section = 0
-
-    def flush() -> None:
-        nonlocal here, section
-        if here and here["source"].strip():
-            source = here["source"].strip()
-            key = hashlib.sha1(f"{'|'.join(here['heading_path'])}#{section}".encode()).hexdigest()[:8]
-            out.append(here | {"id": f"chunk-{key}", "source": source, "sha256": hashlib.sha256(source.encode()).hexdigest(), "tokens": tokens_of(source)})
-            section += 1
-        here = None
+def heading_text(value: str) -> str:
+    """A heading's words: links by their text, code by its value, images and marks left out."""
+    text = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", re.sub(r"!\[[^\]]*\]\([^)]*\)", "", value))
+    return re.sub(r"`+([^`]*)`+|\*+|(?<!\w)_+|_+(?!\w)", r"\1", text).strip()
+
 
+def _sections(markdown: str) -> list[tuple[list[str], list[Block]]]:
+    """(headings above, blocks) of each part that a heading begins; the first may have none."""
+    out: list[tuple[list[str], list[Block]]] = [([], [])]
+    above: dict[int, str] = {}
     for block in blocks(markdown):
         if block.kind == "heading":
-            flush()
-            while path and path[-1][0] >= block.depth:
-                path.pop()
-            if block.value:
-                path.append((block.depth, block.value))
-        size = tokens_of(block.text)
-        if here and (size > most or tokens_of(here["source"]) + size > most):
-            flush()
-        here = here or {"kind": "body", "heading_path": [t for _, t in path], "source": "", "oversized": size > most}
-        here["source"] = f"{here['source']}\n\n{block.text}".strip()
-    flush()
+            above = {depth: text for depth, text in above.items() if depth < block.depth}
+            if words := heading_text(block.value):
+                above[block.depth] = words
+            out.append((list(above.values()), []))
+        out[-1][1].append(block)
+    return [part for part in out if part[1]]
+
+
+def _packed(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts that fit together, greedily, joined by blank lines; one that is too large is alone if something stands before it."""
+    out: list[tuple[int, int]] = []
+    start = used = 0
+    for k, size in enumerate(sizes):
+        if k > start and math.ceil(used / 4) + math.ceil(size / 4) > most:
+            out.append((start, k))
+            start, used = k, 0
+        used += size + (2 if k > start else 0)
+    return [*out, (start, len(sizes))]
+
+
+def _chunk(kind: str, path: list[str], number: int, source: str, spans: list, oversized: bool = False) -> dict:
+    key = hashlib.sha1(f"{'|'.join(path)}#{number}".encode()).hexdigest()[:8]
+    return {"id": f"chunk-{key}", "kind": kind, "heading_path": path, "source": source, "sha256": hashlib.sha256(source.encode()).hexdigest(), "tokens": tokens_of(source), "oversized": oversized, "spans": [{"kind": k, "token": t, "value": v} for k, t, v in spans]}
+
+
+def chunks(markdown: str, most: int = MAX_TOKENS, count: int = MAX_CHUNKS) -> list[dict]:
+    """Chunks of whole blocks up to ``most`` tokens, anew at each heading, with values protected.
+
+    A block that is larger by itself is never cut; a chunk that begins with one is ``oversized``.
+    A chunk has the protected values of its own text.
+    """
+    text, spans = protect(markdown)
+    out: list[dict] = []
+    at = 0
+    for path, some in _sections(text):
+        for a, b in _packed([len(block.text) for block in some], most):
+            source = "\n\n".join(block.text for block in some[a:b]).strip()
+            if not source:
+                continue
+            held = len(_TOKEN.findall(source))  # tokens come in order
+            out.append(_chunk("body", path, len(out), source, spans[at : at + held], tokens_of(some[a].text) > most))
+            at += held
     if len(out) > count:
         raise ValueError(f"{len(out)} chunks, more than {count}")
     return out
 
 
+def plan(markdown: str, title: str | None, official: bool, threshold: float = 0.5, most: int = MAX_TOKENS, count: int = MAX_CHUNKS) -> dict:
+    """How an article is translated: mode, a chunk for the title, chunks of the body, and their sums.
+
+    What is Chinese already is one chunk as it stands, without protected values. An empty text and a threshold outside
+    (0, 1] are errors.
+    """
+    body = markdown.strip()
+    if not body:
+        raise ValueError("the Markdown is empty")
+    if not 0 < threshold <= 1:
+        raise ValueError(f"the threshold must be in (0, 1], not {threshold}")
+    chinese = len(re.findall(r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3000-\u303f]", body))
+    letters = chinese + len(re.findall(r"[A-Za-z]", body))
+    ratio = chinese / letters if letters else 0.0
+    mode = "official-zh" if official else "native-zh" if ratio >= threshold else "translate"
+    parts = chunks(body, most, count) if mode == "translate" else [_chunk("body", [], 0, body, [])]
+    name = (title or "").strip()
+    head = _chunk("title", ["<title>"], 0, name, []) | {"heading_path": []} if name else None
+    if head:
+        head["tokens"] = tokens_of(title)
+    return {"mode": mode, "title": head, "chunks": parts, "n_chunks": len(parts), "oversize_blocks": sum(c["oversized"] for c in parts), "total_tokens": sum(c["tokens"] for c in parts), "cjk_ratio": ratio}
+
+
 def math_inventory(markdown: str) -> list[tuple[str, str]]:
     """(kind, sha256) of every formula in order."""
     found = []
@@ -255,17 +313,17 @@ def _safe(f, empty):
 
 def _protect_rows(texts: pd.Series) -> pd.DataFrame:
     rows = [_safe(protect, ("", []))(t) for t in texts]
-    return pd.DataFrame({"text": [r[0] for r, _ in rows], "spans": [[{"kind": k, "token": t, "value": v} for k, t, v in r[1]] for r, _ in rows], "error": [e for _, e in rows]})
+    return pd.DataFrame({"text": [r[0] for r, _ in rows], "spans": [[{"kind": k, "token": t, "value": v} for k, t, v in r[1]] for r, _ in rows], "error": [e for _, e in rows]}, dtype=object)
 
 
 def _chunk_rows(texts: pd.Series) -> pd.DataFrame:
     rows = [_safe(chunks, [])(t) for t in texts]
-    return pd.DataFrame({"chunks": [r for r, _ in rows], "error": [e for _, e in rows]})
+    return pd.DataFrame({"chunks": [r for r, _ in rows], "error": [e for _, e in rows]}, dtype=object)
 
 
 def _restore_rows(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = [_safe(lambda t, s=s: restore(t, [(x["kind"], x["token"], x["value"]) for x in s]), None)(t) for t, s in zip(texts, spans, strict=True)]
-    return pd.DataFrame({"text": [r for r, _ in rows], "error": [e for _, e in rows]})
+    return pd.DataFrame({"text": [r for r, _ in rows], "error": [e for _, e in rows]}, dtype=object)
 
 
 def _math_rows(texts: pd.Series) -> pd.Series:
@@ -287,9 +345,26 @@ def restore_markdown(text: Column, spans: Column) -> Column:
     return F.pandas_udf(_restore_rows, "text string, error string")(text, spans)
 
 
+_CHUNK = f"struct<id:string,kind:string,heading_path:array<string>,source:string,sha256:string,tokens:int,oversized:boolean,spans:{_SPAN}>"
+_PLAN = f"mode string, title {_CHUNK}, chunks array<{_CHUNK}>, n_chunks int, oversize_blocks int, total_tokens int, cjk_ratio double, error string"
+
+
 def chunk_markdown(text: Column) -> Column:
-    kinds = "array<struct<id:string,kind:string,heading_path:array<string>,source:string,sha256:string,tokens:int,oversized:boolean>>"
-    return F.pandas_udf(_chunk_rows, f"chunks {kinds}, error string")(text)
+    return F.pandas_udf(_chunk_rows, f"chunks array<{_CHUNK}>, error string")(text)
+
+
+def _plan_rows(texts: pd.Series, titles: pd.Series, official: pd.Series) -> pd.DataFrame:
+    blank = dict.fromkeys(("mode", "title", "chunks", "n_chunks", "oversize_blocks", "total_tokens", "cjk_ratio", "error"))
+    rows = []
+    for text, title, own in zip(texts, titles, official, strict=True):
+        found, error = _safe(lambda t, title=title, own=own: plan(t, title, bool(own)), None)(text)
+        rows.append(blank | (found or {}) | {"error": error})
+    return pd.DataFrame(rows, columns=list(blank), dtype=object)
+
+
+def translation_plan(text: Column, title: Column, official: Column) -> Column:
+    """A struct of what ``plan`` gives; null but for ``error`` where it can't."""
+    return F.pandas_udf(_plan_rows, _PLAN)(text, title, F.coalesce(official, F.lit(False)))
 
 
 def math_of(text: Column) -> Column:

@@ -116,9 +116,9 @@ def translator_route(markdown: Column, force_chunked: Column | None = None) -> C
 
 
 def primary_language(html_lang: Column, og_locale: Column) -> Column:
-    """Two letters of the page's language, ``en`` without any."""
-    tag = F.coalesce(F.nullif(trim(html_lang), F.lit("")), F.nullif(trim(og_locale), F.lit("")))
-    return F.coalesce(F.nullif(F.regexp_extract(F.lower(tag), r"^([a-z]{2})", 1), F.lit("")), F.lit("en"))
+    """The first of both tags whose main part has two letters, ``en`` without any."""
+    two = lambda tag: F.nullif(F.regexp_extract(F.lower(trim(tag)), r"^([a-z]{2})(?:[_-]|$)", 1), F.lit(""))
+    return F.coalesce(two(html_lang), two(og_locale), F.lit("en"))
 
 
 def language_tag(tag: Column) -> Column:
@@ -251,4 +251,5 @@ def frontmatter_categories(content: Column) -> Column:
 
 
 def body_of(content: Column) -> Column:
-    return F.regexp_replace(content, r"^---\r?\n[\s\S]*?\r?\n---\r?\n*", "")
+    """What follows a file's header, without white space at its end."""
+    return F.regexp_replace(F.regexp_replace(content, r"^---\r?\n[\s\S]*?\r?\n---\r?\n?", ""), rf"{SPACE}+$", "")

@@ -76,6 +76,7 @@ def canonicalize_url(value: Column, base: Column | None = None) -> Column:
 
 def _canonical(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.regexp_replace(_part(url, 2), r"^.*@", "")), r":(?:443|80)?$", "")
+    user = F.regexp_replace(F.regexp_extract(_part(url, 2), r"^(.*@)", 1), r"^:?@$", "")
     raw = _part(url, 3)
     whole = let(F.when(raw == "", F.lit("/")).otherwise(raw), remove_dot_segments)
     path = let(F.regexp_replace(whole, r"/{2,}", "/"), lambda p: F.when(F.length(p) > 1, F.regexp_replace(p, r"/+$", "")).otherwise(p))
@@ -87,7 +88,7 @@ def _canonical(url: Column) -> Column:
     query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
     search = let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
     good = url.rlike(r"^(?i)https?://[^/?#\s]+") & (host != "") & ~host.rlike(r"[\s<>^|\[\]]")
-    return F.when(good, F.concat(F.lit("https://"), host, path, search))
+    return F.when(good, F.concat(F.lit("https://"), user, host, path, search))
 
 
 def absolute_http_url(value: Column, base: Column) -> Column:
@@ -165,16 +166,16 @@ def blog_of_id(article: Column) -> Column:
 
 
 def drop_language(path: Column) -> Column:
-    """``blog/lang/slug`` (with or without .md) to ``blog/slug``; other paths as they are."""
-    parts = F.split(F.regexp_replace(path, r"\.md$", ""), "/")
-    return F.when(F.size(parts) >= 3, F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -1))).otherwise(F.array_join(parts, "/"))
+    """``blog/lang/slug`` (with or without .md) to ``blog/slug``, where a slug may have folders; shorter paths as they are."""
+    bare = F.regexp_replace(path, r"\.md$", "")
+    return F.regexp_replace(bare, r"^([^/]*)/[^/]*/(?=.)", "$1/")
 
 
 def directory_base(url: Column) -> Column:
-    """The address with a slash added, unless its last segment has a file extension."""
+    """The address with a slash added, unless its last segment has a file extension of up to eight characters."""
     path = path_of(url)
     bare = F.regexp_extract(url, r"^([^?#]*)", 1)
-    return F.when(path.endswith("/") | path.rlike(r"\.[A-Za-z0-9]+$"), url).otherwise(F.concat(bare, F.lit("/"), F.regexp_replace(url, r"^[^?#]*", "")))
+    return F.when(path.endswith("/") | path.rlike(r"\.[A-Za-z0-9]{1,8}$"), url).otherwise(F.concat(bare, F.lit("/"), F.regexp_replace(url, r"^[^?#]*", "")))
 
 
 def is_external(url: Column, base: Column) -> Column:
@@ -205,11 +206,31 @@ def image_proxy(proxy: str, url: Column, width: int | None = None) -> Column:
 
 
 def map_path(url: Column, path_map: Column) -> Column:
-    """The address under the first entry of a map of path prefixes that holds its path; null without one."""
-    path = F.regexp_replace(path_of(url), r"(?<=.)/+$", "")
-    hit = F.filter(F.map_entries(path_map), lambda e: (path == e["key"]) | path.startswith(F.concat(e["key"], F.lit("/"))))
-    origin = F.regexp_extract(url, r"^(?i)(https?://[^/?#]*)", 1)
-    return F.when(F.size(hit) > 0, F.concat(origin, F.get(hit, F.lit(0))["value"], F.substr(path, F.length(F.get(hit, F.lit(0))["key"]) + 1)))
+    """The address under the first entry of a map of path prefixes that holds its path, with a slash at its end; null without one.
+
+    Slashes at the ends of paths and prefixes don't count; a query and a fragment stay.
+    """
+    bare = lambda c: F.regexp_replace(c, r"/+$", "")
+    parts = F.struct(
+        bare(path_of(url)).alias("path"),
+        F.transform(F.map_entries(path_map), lambda e: F.struct(bare(e["key"]).alias("key"), bare(e["value"]).alias("value"))).alias("map"),
+        F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i)(https?://[^/?#]*)", 1)), r":(?:443|80)?$", "").alias("origin"),
+        F.regexp_extract(url, r"^[^?#]*((?s).*)$", 1).alias("rest"),
+    )
+
+    def mapped(v: Column) -> Column:
+        hit = F.get(F.filter(v["map"], lambda e: (v["path"] == e["key"]) | v["path"].startswith(F.concat(e["key"], F.lit("/")))), F.lit(0))
+        return let(hit, lambda e: F.when(e.isNotNull() & (v["origin"] != ""), F.concat(v["origin"], e["value"], F.substr(v["path"], F.length(e["key"]) + 1), F.lit("/"), v["rest"])))
+
+    return let(parts, mapped)
+
+
+def encode_part(value: Column) -> Column:
+    """Percent-encoded for a part of an address: letters, digits and ``-_.!~*'()`` stay."""
+    out = F.url_encode(value)
+    for code, sign in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
 
 
 def fill_template(template: Column, **values: Column) -> Column:

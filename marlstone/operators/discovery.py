@@ -17,6 +17,8 @@ from marlstone.functions.dates import api_published_at, sort_instant
 PATH_RANK = {"api": 0, "rss": 1, "sitemap": 2, "listing": 3}
 
 CHILD_SITEMAPS, PER_RUN = 10, 3
+#: Parts of a source that are sorted apart.
+PARTS = 32
 
 
 def first_per_key(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -57,19 +59,21 @@ def parse_sitemaps(maps: DataFrame) -> DataFrame:
 def expand_sitemaps(entries: DataFrame, children: DataFrame, include: Column | None = None, most: int = CHILD_SITEMAPS) -> DataFrame:
     """Direct entries and those of an index's children (source_id, url, body), each address once.
 
-    ``include``: path prefixes of the children to follow, all if null. At most ``most`` children of a
+    ``include``: folders of the children to follow, all if null, none if empty. At most ``most`` children of a
     source are followed, in order; a child that isn't there is left out. The cap is the feature: it
-    bounds what one source may ask for.
+    bounds what one source may ask for. Where no child is followed the entries stay as they are.
     """
     followed = entries.where("child")
     if include is not None:
-        path = U.path_of(F.col("url"))
-        followed = followed.where(include.isNull() | (F.size(include) == 0) | F.exists(include, lambda p: path.startswith(p)))
+        bare = lambda c: F.regexp_replace(c, r"/+$", "")
+        path = bare(U.path_of(F.col("url")))
+        followed = followed.where(include.isNull() | F.exists(include, lambda p: (path == bare(p)) | path.startswith(F.concat(bare(p), F.lit("/")))))
     turn = F.row_number().over(Window.partitionBy("source_id").orderBy("map_url", "seq"))
     followed = followed.withColumn("_n", turn).where(F.col("_n") <= most).select("source_id", "url", F.col("_n"))
     nested = parse_sitemaps(children.join(followed.select("source_id", "url"), ["source_id", "url"], "left_semi")).where("not child")
     nested = nested.join(followed.withColumnRenamed("url", "map_url"), ["source_id", "map_url"])
-    every = entries.where("not child").select("source_id", "url", "published_at", F.lit(0).alias("_n"), "seq").union(nested.select("source_id", "url", "published_at", "_n", "seq"))
+    lone = entries.join(followed.select("source_id").distinct(), "source_id", "left_anti").where("child")
+    every = entries.where("not child").unionByName(lone).select("source_id", "url", "published_at", F.lit(0).alias("_n"), "seq").union(nested.select("source_id", "url", "published_at", "_n", "seq"))
     return first_per_key(every, ["source_id", "url"], "_n", "seq").drop("_n")
 
 
@@ -84,17 +88,18 @@ def parse_listings(pages: DataFrame) -> DataFrame:
     return first_per_key(found.where(F.col("url").isNotNull() & U.is_likely_article(F.col("url"), F.col("domain"))), ["source_id", "url"], "seq").drop("domain")
 
 
-def parse_json_lists(replies: DataFrame, list_path: str, template: str) -> DataFrame:
+def parse_json_lists(replies: DataFrame, list_path: str, template: str | None = None) -> DataFrame:
     """Rows (source_id, body) to (source_id, url, title, published_at, seq) by a path to the list and an address template.
 
-    Items need an id. The slug is customUrl, slug, or the id; the date publishedAt, publishTime or date.
+    Items need an id. The slug is customUrl, or else slug, and the id where that is empty; the date
+    publishedAt, publishTime or date. Without a template an item's own ``url`` counts.
     """
-    fields = "array<struct<id:string,customUrl:string,slug:string,title:string,publishedAt:string,publishTime:string,date:string>>"
+    fields = "array<struct<id:string,url:string,customUrl:string,slug:string,title:string,publishedAt:string,publishTime:string,date:string>>"
     listed = F.from_json(F.get_json_object("body", f"$.{list_path}"), fields)
     items = replies.select("source_id", F.posexplode(listed).alias("seq", "_i")).where("_i.id is not null and _i.id <> ''")
-    some = lambda *names: F.coalesce(*[F.nullif(F.col(f"_i.{n}"), F.lit("")) for n in names])
-    url = U.fill_template(F.lit(template), id=F.col("_i.id"), slug=some("customUrl", "slug", "id"))
-    found = items.select("source_id", U.canonicalize_url(url).alias("url"), F.coalesce(F.col("_i.title"), F.lit("")).alias("title"), api_published_at(some("publishedAt", "publishTime", "date")).alias("published_at"), "seq")
+    slug = F.coalesce(F.nullif(F.trim(F.coalesce("_i.customUrl", "_i.slug")), F.lit("")), F.col("_i.id"))
+    url = U.fill_template(F.lit(template), id=U.encode_part(F.col("_i.id")), slug=U.encode_part(slug)) if template else F.col("_i.url")
+    found = items.select("source_id", U.canonicalize_url(url).alias("url"), F.coalesce(F.col("_i.title"), F.lit("")).alias("title"), api_published_at(F.coalesce("_i.publishedAt", "_i.publishTime", "_i.date")).alias("published_at"), "seq")
     return first_per_key(found.where("url is not null"), ["source_id", "url"], "seq")
 
 
@@ -129,9 +134,16 @@ def unseen(items: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def newest(items: DataFrame, limit: Column) -> DataFrame:
-    """The newest items of each source, as many as ``limit`` says (0: all); undated ones are the oldest."""
-    turn = F.row_number().over(Window.partitionBy("source_id").orderBy(sort_instant(F.col("published_at")).desc(), "seq"))
-    return items.withColumn("place", turn).withColumn("_limit", limit).where("_limit = 0 or place <= _limit").drop("_limit")
+    """The newest items of each source, as many as ``limit`` says (0: all); undated ones are the oldest.
+
+    Parts of a source are cut to the limit first, each in a task of its own: a large source is sorted
+    whole only where all of it is asked for.
+    """
+    order = [sort_instant(F.col("published_at")).desc(), F.col("seq")]
+    turn = lambda *part: F.row_number().over(Window.partitionBy("source_id", *part).orderBy(*order))
+    capped = items.withColumn("_limit", limit).withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(PARTS)))
+    capped = capped.withColumn("_n", turn("_part")).where("_limit = 0 or _n <= _limit").drop("_n", "_part")
+    return capped.withColumn("place", turn()).where("_limit = 0 or place <= _limit").drop("_limit")
 
 
 def run_limit(cli: Column | None = None, source: Column | None = None) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.core import let
+from marlstone.functions.text import language_tag
+
 # Languages of an official Chinese version, best first; others of simplified script follow.
-ZH_PREFERENCE = ("zh-cn", "zh-hans", "zh-hans-cn", "zh")
+ZH_PREFERENCE = ("zh-hans-cn", "zh-cn", "zh-hans", "zh-sg", "zh")
 
 RELATED, HITS = 3, 30
 
@@ -96,10 +99,18 @@ def hits_by_path(hits: DataFrame, items: DataFrame, most: int = HITS) -> DataFra
 
 
 def official_chinese(alternates: Column) -> Column:
-    """The best of an array of (language, url): by preference, else any simplified one; never traditional."""
-    first = lambda tag: F.get(F.filter(alternates, lambda a: a["language"] == tag), F.lit(0))
-    ranked = [first(tag) for tag in ZH_PREFERENCE]
-    return F.coalesce(*ranked, F.get(F.filter(alternates, lambda a: a["language"].startswith("zh-hans")), F.lit(0)))
+    """The best of an array of (language, url): by preference, else any simplified one; never traditional.
+
+    Languages are compared, and given back, in lower case with hyphens.
+    """
+    named = F.transform(alternates, lambda a: F.struct(language_tag(a["language"]).alias("language"), a["url"].alias("url")))
+
+    def choose(some: Column) -> Column:
+        first = lambda fits: F.get(F.filter(some, lambda a: fits(a["language"])), F.lit(0))
+        ranked = [first(lambda tag, want=want: tag == want) for want in ZH_PREFERENCE]
+        return F.coalesce(*ranked, first(lambda tag: tag.startswith("zh-hans-")))
+
+    return let(named, choose)
 
 
 def health(articles: DataFrame, items: DataFrame) -> DataFrame:

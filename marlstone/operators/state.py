@@ -20,6 +20,8 @@ TRANSITIONS = {
 TERMINAL = ("published", "skipped")
 #: Errors that a run's ledger keeps.
 KEPT_ERRORS = 50
+#: Parts of a source that are sorted apart.
+PARTS = 32
 
 
 def transition_table(spark: SparkSession) -> DataFrame:
@@ -98,11 +100,15 @@ def close_runs(outcomes: DataFrame) -> DataFrame:
     ``errors``: JSON of the first ones, as many as a ledger keeps.
     """
     is_ = lambda *names: F.count_if(F.col("disposition").isin(*names))
-    turn = F.row_number().over(Window.partitionBy("source_id", F.col("disposition") == "failed").orderBy("seq"))
-    kept = outcomes.withColumn("_n", turn)
-    error = F.when((F.col("disposition") == "failed") & (F.col("_n") <= KEPT_ERRORS), F.struct("seq", "error"))
-    rows = kept.groupBy("source_id").agg(F.count(F.lit(1)).alias("discovered"), is_("pending", "processed", "failed").alias("pending"), is_("processed").alias("processed"), is_("failed").alias("failed"), F.transform(F.sort_array(F.collect_list(error)), lambda e: e["error"]).alias("_errors"))
-    return rows.withColumn("status", run_status(F.col("failed"))).withColumn("errors", F.to_json("_errors")).drop("_errors")
+    rows = outcomes.groupBy("source_id").agg(F.count(F.lit(1)).alias("discovered"), is_("pending", "processed", "failed").alias("pending"), is_("processed").alias("processed"), is_("failed").alias("failed"))
+    failed = outcomes.where("disposition = 'failed'").select("source_id", "seq", "error", F.pmod(F.xxhash64("seq"), F.lit(PARTS)).alias("_part"))
+    for part in (["_part"], []):  # the first of each part, then of the source: no source is sorted whole
+        turn = F.row_number().over(Window.partitionBy("source_id", *part).orderBy("seq"))
+        failed = failed.withColumn("_n", turn).where(F.col("_n") <= KEPT_ERRORS)
+    kept = failed.groupBy(F.col("source_id").alias("_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "error"))), lambda e: e["error"]).alias("_errors"))
+    rows = rows.join(kept, F.col("source_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    errors = F.coalesce("_errors", F.array().cast("array<string>"))
+    return rows.withColumn("status", run_status(F.col("failed"))).withColumn("errors", F.to_json(errors)).drop("_errors")
 
 
 def total(runs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import discovery, merge, readmodel, state
 from marlstone.plans.registry import query
 from marlstone.session import table
@@ -37,14 +38,14 @@ def reconcile_insert_missing(spark, d):
 def _articles(spark, d):
     docs = table(spark, d, "documents")
     articles = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("lang").alias("original_language"), F.format_string("2024-%02d-%02d", F.col("doc_id") % 12 + 1, F.col("doc_id") % 28 + 1).alias("published_at"), F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("string").alias("author"))
-    versions = docs.select(F.col("doc_id").alias("article_id"), F.col("lang").alias("language"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 60).alias("excerpt"), F.lit("original").alias("provenance"))
+    versions = docs.select(F.col("doc_id").alias("article_id"), F.col("lang").alias("language"), F.col("text").alias("title"), T.excerpt(F.col("text")).alias("excerpt"), F.lit("original").alias("provenance"))
     return articles, versions
 
 
 _DATE = "printf('2024-%02d-%02d', doc_id % 12 + 1, doc_id % 28 + 1)"
 
 
-@query("article_list", f"SELECT doc_id AS id, {_DATE} AS published_at, substring(text, 1, 40) AS title FROM documents WHERE source = 'src1' AND lang = 'en'")
+@query("article_list", f"SELECT doc_id AS id, {_DATE} AS published_at, text AS title FROM documents WHERE source = 'src1' AND lang = 'en'")
 def article_list(spark, d):
     return readmodel.article_list(*_articles(spark, d), "src1", "en").select("id", "published_at", "title")
 
@@ -107,9 +108,9 @@ def related_top3(spark, d):
     return readmodel.related(items)
 
 
-@query("original_title_left_join", "SELECT a.conv_id AS article_id, a.title, b.title AS original_title FROM (SELECT conv_id, substring(text, 1, 30) AS title FROM conversations WHERE turn = 1) a LEFT JOIN (SELECT conv_id, substring(text, 1, 30) AS title FROM conversations WHERE turn = 2) b USING (conv_id)")
+@query("original_title_left_join", "SELECT a.conv_id AS article_id, a.title, b.title AS original_title FROM (SELECT conv_id, text AS title FROM conversations WHERE turn = 1) a LEFT JOIN (SELECT conv_id, text AS title FROM conversations WHERE turn = 2) b USING (conv_id)")
 def original_title_left_join(spark, d):
-    versions = table(spark, d, "conversations").select(F.col("conv_id").alias("article_id"), F.when(F.col("turn") == 1, "zh-cn").when(F.col("turn") == 2, "en").otherwise("xx").alias("language"), F.substring("text", 1, 30).alias("title"))
+    versions = table(spark, d, "conversations").select(F.col("conv_id").alias("article_id"), F.when(F.col("turn") == 1, "zh-cn").when(F.col("turn") == 2, "en").otherwise("xx").alias("language"), F.col("text").alias("title"))
     return readmodel.with_original_title(versions).select("article_id", "title", "original_title")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -40,6 +41,18 @@ def registry_issues(registry: DataFrame) -> DataFrame:
     return single.union(twice)
 
 
+def registry_error(registry: DataFrame) -> DataFrame:
+    """(error): one text with every fault of a registry; no row for a sound one."""
+    lines = registry_issues(registry).select(F.concat(F.coalesce("id", F.lit("?")), F.lit(": "), F.col("path"), F.lit(" "), F.col("message")).alias("line"))
+    return lines.agg(F.sort_array(F.collect_list("line")).alias("lines")).where(F.size("lines") > 0).select(F.array_join("lines", "\n").alias("error"))
+
+
+def first_versions(versions: DataFrame) -> DataFrame:
+    """Parsed files, of several for one article and language the first by its path."""
+    turn = F.row_number().over(Window.partitionBy("article_id", "language").orderBy("path"))
+    return versions.withColumn("_n", turn).where("_n = 1").drop("_n")
+
+
 def active_sources(registry: DataFrame, source_id: str | None = None, dry_run: bool = False) -> DataFrame:
     """Sources that a run may touch: active ones, all in a dry run."""
     out = registry if dry_run else registry.where("update_mode = 'active'")
@@ -51,26 +64,30 @@ def skipped_sources(registry: DataFrame) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of a tree of Markdown files, a file a row."""
+    """(path, content) of a tree of Markdown files, a file a row; paths start at the tree's root."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path).rstrip("/")
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return files.select(F.regexp_replace(whole, rf"^.*?\Q{root}\E/", "").alias("path"), F.col("value").alias("content"))
 
 
 def parse_versions(files: DataFrame) -> DataFrame:
-    """Files (path, content) as versions; ``article_id`` is the path without its language folder; ``error`` names missing keys."""
-    parts = F.split(F.regexp_replace("path", r"\.md$", ""), "/")
+    """Files (path, content) as versions; ``article_id`` is the path without its language folder; ``error`` names missing keys.
+
+    An article's folders count as parts of its slug. A value that is empty is missing.
+    """
     value = lambda key: T.frontmatter_value(F.col("content"), key)
-    keys = ("blog_id", "original_url", "language", "title", "published_at", "source_domain", "original_language", "provenance")
+    keys = ("blog_id", "original_url", "language", "title", "published_at", "source_domain", "original_language", "provenance", "version_at")
     rows = files.select(
-        F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -1)).alias("article_id"),
+        U.drop_language(F.col("path")).alias("article_id"),
         *[value(k).alias(k) for k in keys],
-        *[value(k).alias(k) for k in ("image_url", "author", "excerpt", "translation_model", "original_alt_url", "version_at")],
+        *[value(k).alias(k) for k in ("image_url", "author", "excerpt", "translation_model", "original_alt_url")],
         (value("is_original") == "true").alias("is_original"),
         T.frontmatter_categories(F.col("content")).alias("categories"),
         T.body_of(F.col("content")).alias("content_markdown"),
         "path",
     )
-    gaps = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in keys]))
+    gaps = F.array_compact(F.array(*[F.when(F.coalesce(F.col(k), F.lit("")) == "", F.lit(k)) for k in keys]))
     return rows.withColumn("error", F.when(F.size(gaps) > 0, F.concat(F.lit("missing: "), F.array_join(gaps, ", "))))
 
 

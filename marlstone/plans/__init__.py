@@ -1,3 +1,3 @@
 """Queries over the driver's tables: importing this package registers them."""
 
-from marlstone.plans import relational, scalars, structure  # noqa: F401
+from marlstone.plans import relational, runs, scalars, structure  # noqa: F401

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import exact_dedup, near_dedup, packing, passage_dedup, toxicity
-from marlstone.llm.common import Scratch
+from marlstone.llm.common import Scratch, cleared
 from marlstone.session import table
 
 
@@ -51,11 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written and read again."""
+    """All stages over ``documents``, each one's rows written and read again.
+
+    A stage's own tables go once its rows are written, and those rows once the next stage's are.
+    An empty table, and null ids or texts, pass through all stages; what each does with them is said
+    with its operator.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with cleared():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,6 +28,31 @@ def sql_literal(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), F.replace(value.cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
 
 
+def upsert_statement(table: str, values: dict[str, Column], keys: tuple[str, ...], updates: dict[str, str] | None = None) -> Column:
+    """An INSERT of a row that updates the row with its keys, where there is one: all other columns, or ``updates`` (column to SQL)."""
+    changed = updates if updates is not None else {c: f"excluded.{c}" for c in values if c not in keys}
+    tail = f") ON CONFLICT({', '.join(keys)}) DO " + (f"UPDATE SET {', '.join(f'{c}={x}' for c, x in changed.items())};" if changed else "NOTHING;")
+    return F.concat(F.lit(f"INSERT INTO {table} ({', '.join(values)}) VALUES ("), F.concat_ws(", ", *map(sql_literal, values.values())), F.lit(tail))
+
+
+def first_commit_date(reply: Column) -> Column:
+    """The date of a file's first commit from a host's list of commits, which has the newest first; an empty text without one."""
+    commits = F.from_json(reply, "array<struct<commit:struct<committer:struct<date:string>>>>")
+    return F.coalesce(normalize_date(F.try_element_at(commits, F.lit(-1))["commit"]["committer"]["date"]), F.lit(""))
+
+
+def proxy_settings(environment: dict[str, str]) -> dict:
+    """Whether and where a proxy is used, from USE_PROXY (true or false), PROXY_URL and NO_PROXY; anything else is an error."""
+    used = environment.get("USE_PROXY", "false").strip()
+    if used not in ("true", "false"):
+        raise ValueError("USE_PROXY must be true or false")
+    url = environment.get("PROXY_URL", "http://127.0.0.1:7897").strip()
+    if used == "true" and not url.lower().startswith(("http://", "https://")):
+        raise ValueError(f"PROXY_URL {url} is not an http(s) address")
+    hosts = [h.removeprefix("www.") for h in environment.get("NO_PROXY", "").lower().replace(",", " ").split()]
+    return {"enabled": used == "true", "url": url, "no_proxy": hosts}
+
+
 def retry_after(header: Column, now: Column) -> Column:
     """Milliseconds that a Retry-After header asks for, as seconds or as a date; null for others."""
     text = F.trim(header)

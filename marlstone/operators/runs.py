@@ -184,6 +184,24 @@ def backfill_counters(items: DataFrame) -> DataFrame:
     )
 
 
+def audit(articles: DataFrame) -> DataFrame:
+    """Fetched samples (url, title, content_markdown, published_at, language, error) with ``codes``, ``images``, ``passed`` and ``line``.
+
+    A sample that didn't come has the code fetch-or-extraction-failed.
+    """
+    found = gate.issues(F.col("title"), F.col("content_markdown"), F.col("published_at"))
+    codes = F.transform(F.filter(found, lambda i: i["severity"] == "error"), lambda i: i["code"])
+    failed = F.col("error").isNotNull()
+    undated = F.when(F.trim(F.coalesce("published_at", F.lit(""))) == "", F.array(F.lit("missing-published-date"))).otherwise(F.array().cast("array<string>"))
+    rows = articles.withColumn("codes", F.when(failed, F.array(F.lit("fetch-or-extraction-failed"))).otherwise(F.concat(codes, undated)))
+    rows = rows.withColumn("images", T.image_urls(F.coalesce("content_markdown", F.lit("")))).withColumn("passed", F.size("codes") == 0)
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("missing"))
+    head = F.concat(F.when(F.col("passed"), "PASS ").otherwise("FAIL "), F.col("url"))
+    about = F.when(~failed, F.concat(F.lit("\n  title="), F.coalesce("title", F.lit("")), F.lit(" date="), known("published_at"), F.lit(" lang="), known("language"), F.lit(" markdown="), F.length(F.coalesce("content_markdown", F.lit(""))).cast("string"), F.lit(" images="), F.size("images").cast("string")))
+    why = F.when(~F.col("passed"), F.concat(F.lit("\n  issues="), F.array_join("codes", ",")))
+    return rows.withColumn("line", F.concat(head, F.coalesce(about, F.lit("")), F.coalesce(F.concat(F.lit("\n  error="), F.col("error")), F.lit("")), F.coalesce(why, F.lit(""))))
+
+
 _REPORT = ("discovered", "eligible", "skipped_by_date", "truncated_by_max", "saved", "failed", "earliest", "latest", "math", "tables", "images")
 
 

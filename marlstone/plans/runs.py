@@ -273,6 +273,30 @@ def sql_literal(spark, d):
     return table(spark, d, "documents").select("doc_id", G.sql_literal(F.col("text")).alias("literal"))
 
 
+@query("sql_upsert", "SELECT doc_id, 'INSERT INTO versions (article_id, language, title, content_markdown) VALUES (''' || doc_id || ''', ''' || lang || ''', NULL, ' || CASE WHEN text IS NULL THEN 'NULL' ELSE '''' || replace(text, '''', '''''') || '''' END || ') ON CONFLICT(article_id, language) DO UPDATE SET title=excluded.title, content_markdown=excluded.content_markdown;' AS statement FROM documents")
+def sql_upsert(spark, d):
+    values = {"article_id": F.col("doc_id"), "language": F.col("lang"), "title": F.lit(None).cast("string"), "content_markdown": F.col("text")}
+    return table(spark, d, "documents").select("doc_id", G.upsert_statement("versions", values, ("article_id", "language")).alias("statement"))
+
+
+@query("first_commit_date", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T01:02:03.000Z' ELSE '' END AS found_at FROM orders")
+def first_commit_date(spark, d):
+    k = F.col("o_orderkey") % 3
+    one = lambda at: F.concat(F.lit('{"sha":"x","commit":{"author":{},"committer":{"name":"n","date":"'), at, F.lit('"}}}'))
+    reply = F.when(k == 0, F.concat(F.lit("["), one(F.lit("2030-01-01T00:00:00Z")), F.lit(","), one(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T01:02:03Z"))), F.lit("]"))).when(k == 1, "[]").otherwise('{"message":"rate limit"}')
+    return table(spark, d, "orders").select("o_orderkey", G.first_commit_date(reply).alias("found_at"))
+
+
+@query("audit_samples", f"""
+WITH a AS (SELECT doc_id, {_URL} AS url, doc_id % 9 = 0 AS failed, CASE WHEN doc_id % 9 = 0 THEN ['fetch-or-extraction-failed'] ELSE list_concat({_codes('doc_id % 11 = 0')}, CASE WHEN doc_id % 11 = 0 THEN ['missing-published-date'] ELSE [] END) END AS codes,
+ len(list_distinct(regexp_extract_all({_BODY}, '!\\[[^\\]]*\\]\\(([^)\\s]+)(?:\\s+"[^"]*")?\\)', 1))) AS images, length({_BODY}) AS size, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE {_DATE} END AS day, lang FROM documents)
+SELECT doc_id, len(codes) = 0 AS passed, CASE WHEN len(codes) = 0 THEN 'PASS ' ELSE 'FAIL ' END || url || CASE WHEN failed THEN chr(10) || '  error=HTTP 500' ELSE chr(10) || '  title=t date=' || day || ' lang=' || lang || ' markdown=' || size || ' images=' || images END || CASE WHEN len(codes) > 0 THEN chr(10) || '  issues=' || array_to_string(codes, ',') ELSE '' END AS line FROM a""")
+def audit_samples(spark, d):
+    docs, i = _docs(spark, d), F.col("doc_id")
+    rows = docs.select("doc_id", "url", F.lit("t").alias("title"), F.col("text").alias("content_markdown"), F.when(i % 11 != 0, _date()).alias("published_at"), F.col("lang").alias("language"), F.when(i % 9 == 0, "HTTP 500").alias("error"))
+    return runs.audit(rows).select("doc_id", "passed", "line")
+
+
 @query("retry_after", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN (event_id % 100) * 1000 WHEN 1 THEN 60000 WHEN 2 THEN 15000 WHEN 3 THEN 0 END AS wait FROM (SELECT * FROM events WHERE event_id % 6 <> 0 OR event_id % 100 <= 60) UNION ALL SELECT event_id, 60000 FROM events WHERE event_id % 6 = 0 AND event_id % 100 > 60")
 def retry_after(spark, d):
     k = F.col("event_id") % 6

@@ -127,6 +127,30 @@ def test_guards(spark):
     assert values(spark, lambda t: G.request_value(t, F.lit("7"), F.lit("en")), table) == list(table.values())
 
 
+def test_proxy_settings():
+    assert G.proxy_settings({}) == {"enabled": False, "url": "http://127.0.0.1:7897", "no_proxy": []}
+    assert G.proxy_settings({"USE_PROXY": " true ", "PROXY_URL": "https://p:1", "NO_PROXY": "www.A.org, b  c"})["no_proxy"] == ["a.org", "b", "c"]
+    for bad in ({"USE_PROXY": "yes"}, {"USE_PROXY": "true", "PROXY_URL": "socks://p"}):
+        with pytest.raises(ValueError):
+            G.proxy_settings(bad)
+
+
+def test_commits_and_statements(spark):
+    table = {'[{"commit":{"committer":{"date":"2024-02-02T00:00:00Z"}}},{"commit":{"committer":{"date":"2020-01-01T00:00:00Z"}}}]': "2020-01-01T00:00:00.000Z", "[]": "", "junk": "", '[{"commit":{}}]': ""}
+    assert values(spark, G.first_commit_date, table) == list(table.values())
+    statement = lambda x: G.upsert_statement("t", {"k": F.lit(1), "v": x}, ("k",))
+    assert values(spark, statement, ["o'clock", None]) == ["INSERT INTO t (k, v) VALUES ('1', 'o''clock') ON CONFLICT(k) DO UPDATE SET v=excluded.v;", "INSERT INTO t (k, v) VALUES ('1', NULL) ON CONFLICT(k) DO UPDATE SET v=excluded.v;"]
+    assert values(spark, lambda x: G.upsert_statement("t", {"k": x}, ("k",)), ["a"]) == ["INSERT INTO t (k) VALUES ('a') ON CONFLICT(k) DO NOTHING;"]
+
+
+def test_audit(spark):
+    rows = spark.createDataFrame([("u1", "t", LONG, "2024-01-01", "en", None), ("u2", "", "short ![a](b.png)", None, None, None), ("u3", None, None, None, None, "HTTP 404")], "url string, title string, content_markdown string, published_at string, language string, error string")
+    got = {r["url"]: (r["passed"], r["codes"], r["line"]) for r in runs.audit(rows).collect()}
+    assert got["u1"] == (True, [], "PASS u1\n  title=t date=2024-01-01 lang=en markdown=300 images=0")
+    assert got["u2"][1] == ["missing-title", "content-too-short", "missing-published-date", "image-url-not-absolute", "missing-published-date"]
+    assert got["u3"] == (False, ["fetch-or-extraction-failed"], "FAIL u3\n  error=HTTP 404\n  issues=fetch-or-extraction-failed")
+
+
 def test_absolute_markdown(spark):
     base = F.lit("https://x.com/blog/post?q=1")
     table = {

@@ -46,6 +46,23 @@ def by_type(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sources.where("type = 'company'"), sources.where("type = 'personal'")
 
 
+def _newest(items: DataFrame, eligible: Column, most: Column) -> DataFrame:
+    """Items (source_id, url, published_at, seq) with ``_taken`` and, for taken ones, ``place``: the newest eligible ones of a source, up to ``most`` (0: all).
+
+    Parts of a source are cut first, each in a task of its own, and so is what isn't eligible; only without
+    a limit is a source sorted whole.
+    """
+    order = [D.sort_instant(F.col("published_at")).desc(), F.col("seq")]
+    turn = lambda lane: F.row_number().over(Window.partitionBy("source_id", lane).orderBy(*order))
+    part = F.pmod(F.xxhash64("url"), F.lit(discovery.PARTS))
+    rows = items.withColumn("_fit", eligible).withColumn("_most", most).withColumn("_part", part)
+    rows = rows.withColumn("_lane", F.when(F.col("_fit"), F.col("_part")).otherwise(-1 - F.col("_part"))).withColumn("_n", turn("_lane"))
+    rows = rows.withColumn("_may", F.col("_fit") & ((F.col("_most") <= 0) | (F.col("_n") <= F.col("_most"))))
+    rows = rows.withColumn("_lane", F.when(F.col("_may"), F.lit(discovery.PARTS)).otherwise(F.col("_lane"))).withColumn("_n", turn("_lane"))
+    rows = rows.withColumn("_taken", F.col("_may") & ((F.col("_most") <= 0) | (F.col("_n") <= F.col("_most"))))
+    return rows.withColumn("place", F.when(F.col("_taken"), F.col("_n"))).drop("_fit", "_most", "_part", "_lane", "_n", "_may")
+
+
 def run_update(sources: DataFrame, discovered: DataFrame, seen: DataFrame, fetched: DataFrame, translated: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One row per discovered item: source_id, url, place, disposition, error_kind, error_code, error, marked.
 
@@ -57,16 +74,13 @@ def run_update(sources: DataFrame, discovered: DataFrame, seen: DataFrame, fetch
     Unseen items of a source are taken newest first, as many as the run's limit or else the source's says (0: all).
     An item without a page failed to be fetched. What the gate rejects is marked, so that it isn't
     fetched again; an original is saved and marked before its translation, which may fail by itself.
-    ``limit`` in ``place`` counts the unseen items of a source; seen ones have none.
+    ``place`` counts the items that a source's run takes; others have none.
     """
     dry = translated is None
     had = seen.select("source_id", "url").distinct().withColumn("_seen", F.lit(True))
     items = discovered.join(had, ["source_id", "url"], "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
-    newest = Window.partitionBy("source_id", "_seen").orderBy(D.sort_instant(F.col("published_at")).desc(), "seq")
-    items = items.select("source_id", "url", "_seen", F.when(~F.col("_seen"), F.row_number().over(newest)).alias("place"))
-    most = discovery.run_limit(F.lit(limit).cast("int"), F.col("_limit"))
     config = sources.select(F.col("id").alias("source_id"), F.col("limit").cast("int").alias("_limit"), F.col("min_content_chars").cast("int").alias("_least"))
-    items = items.join(config, "source_id").withColumn("_taken", ~F.col("_seen") & ((most == 0) | (F.col("place") <= most)))
+    items = _newest(items.join(config, "source_id"), ~F.col("_seen"), discovery.run_limit(F.lit(limit).cast("int"), F.col("_limit"))).drop("published_at")
     page = fetched.select("source_id", "url", F.lit(True).alias("_page"), "title", "content_markdown", F.col("published_at"), F.col("error").alias("_fetch"))
     whole = items.join(page, ["source_id", "url"], "left")
     found = gate.issues(F.col("title"), F.col("content_markdown"), F.col("published_at"), F.col("_least"))
@@ -138,10 +152,8 @@ def run_backfill(sources: DataFrame, discovered: DataFrame, fetched: DataFrame,
     items = discovered.join(config, "source_id")
     policy = F.col("policy")
     fits = policy.isNull() | discovery.policy_passes(policy["mode"], policy["since"], F.col("published_at"), F.col("url"), policy["url_date_pattern"])
-    newest = Window.partitionBy("source_id", "_fits").orderBy(D.sort_instant(F.col("published_at")).desc(), "seq")
-    items = items.withColumn("_fits", F.coalesce(fits, F.lit(True))).withColumn("place", F.when(F.col("_fits"), F.row_number().over(newest)))
-    most = F.coalesce(F.lit(cap).cast("int"), policy["max_articles"], F.lit(0))
-    items = items.withColumn("_taken", F.col("_fits") & ((most <= 0) | (F.col("place") <= most))).drop("published_at")
+    items = items.withColumn("_fits", F.coalesce(fits, F.lit(True)))
+    items = _newest(items, F.col("_fits"), F.coalesce(F.lit(cap).cast("int"), policy["max_articles"], F.lit(0))).drop("published_at")
     page = fetched.select("source_id", "url", F.lit(True).alias("_page"), "title", "content_markdown", "published_at", F.col("error").alias("_fetch"))
     whole = items.join(page, ["source_id", "url"], "left")
     arrived = F.col("_taken") & F.coalesce("_page", F.lit(False)) & F.col("_fetch").isNull()

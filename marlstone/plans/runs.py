@@ -49,7 +49,7 @@ _UPDATE = f"""
 WITH i AS (SELECT source, doc_id, {_URL} AS url, doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AS seen, {_codes('doc_id % 11 = 0')} AS codes, {_DATE} AS day FROM documents),
 p AS (SELECT *, CASE WHEN NOT seen THEN row_number() OVER (PARTITION BY source, seen ORDER BY day DESC, doc_id) END AS place FROM i),
 x AS (SELECT *, CASE WHEN seen THEN 'seen' WHEN place > 30 THEN 'over-limit' WHEN doc_id % 19 = 0 OR doc_id % 17 = 0 THEN 'fetch-failed' WHEN len(codes) > 0 THEN 'rejected' WHEN doc_id % 13 <> 0 AND doc_id % 7 <> 0 THEN 'published' ELSE 'saved' END AS disposition FROM p),
-u AS (SELECT source AS source_id, url, CAST(place AS INT) AS place, disposition,
+u AS (SELECT source AS source_id, url, CAST(CASE WHEN place <= 30 THEN place END AS INT) AS place, disposition,
  CASE disposition WHEN 'rejected' THEN 'integrity' WHEN 'fetch-failed' THEN 'fatal' WHEN 'saved' THEN 'fatal' END AS error_kind,
  CASE WHEN disposition = 'rejected' THEN array_to_string(codes, ', ') END AS error_code,
  CASE disposition WHEN 'rejected' THEN 'integrity gate: ' || array_to_string(codes, ', ') WHEN 'fetch-failed' THEN CASE WHEN doc_id % 19 = 0 THEN 'no page' ELSE 'HTTP 500' END WHEN 'saved' THEN CASE WHEN doc_id % 13 = 0 THEN 'no translation' ELSE 'bad' END END AS error,
@@ -84,7 +84,7 @@ WITH s AS (SELECT *, coalesce(TRY_CAST(substring(source, 4) AS INT), 0) % 3 AS k
 f AS (SELECT *, kind <> 1 OR coalesce(found >= '2024-06-15', FALSE) AS fits, {_codes('FALSE')} AS codes FROM s),
 p AS (SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY source, fits ORDER BY coalesce(found, '1970-01-01') DESC, doc_id) END AS place FROM f),
 x AS (SELECT *, CASE WHEN NOT fits THEN 'skipped-by-date' WHEN kind = 0 AND place > 25 THEN 'truncated' WHEN doc_id % 17 = 0 THEN 'fetch-failed' WHEN kind = 1 AND page_day < '2024-06-15' THEN 'outside-window' WHEN len(codes) > 0 THEN 'rejected' ELSE 'saved' END AS disposition FROM p),
-b AS (SELECT source AS source_id, {_URL} AS url, CAST(place AS INT) AS place, disposition, CASE disposition WHEN 'outside-window' THEN 'outside-backfill-window' WHEN 'rejected' THEN array_to_string(codes, ', ') END AS error_code,
+b AS (SELECT source AS source_id, {_URL} AS url, CAST(CASE WHEN kind <> 0 OR place <= 25 THEN place END AS INT) AS place, disposition, CASE disposition WHEN 'outside-window' THEN 'outside-backfill-window' WHEN 'rejected' THEN array_to_string(codes, ', ') END AS error_code,
  CASE disposition WHEN 'fetch-failed' THEN 'HTTP 404' WHEN 'outside-window' THEN 'outside-backfill-window' WHEN 'rejected' THEN array_to_string(codes, ', ') END AS error, CASE WHEN disposition = 'saved' THEN page_day END AS published_at,
  disposition = 'saved' AND len(regexp_extract_all({_BODY}, {_MATH})) > 0 AS math, disposition = 'saved' AND len(regexp_extract_all({_BODY}, {_ROWS})) > 0 AS tables, disposition = 'saved' AND len(regexp_extract_all({_BODY}, {_IMAGE})) > 0 AS images FROM x),
 c AS (SELECT source_id, count(*) AS discovered, count(*) FILTER (disposition <> 'skipped-by-date') AS eligible, count(*) FILTER (disposition = 'skipped-by-date') AS skipped_by_date, count(*) FILTER (disposition = 'truncated') AS truncated_by_max, count(*) FILTER (disposition = 'saved') AS saved, count(*) FILTER (error IS NOT NULL) AS failed, min(published_at) AS earliest, max(published_at) AS latest, count(*) FILTER (math) AS math, count(*) FILTER (tables) AS tables, count(*) FILTER (images) AS images FROM b GROUP BY 1)"""

@@ -1,6 +1,7 @@
 """Packing into optimal length buckets.
 
-A text is cut into sequences of at most ``max_tokens`` words. A dynamic programme over the
+A text is cut into sequences of at most ``max_tokens`` tokens: its words, or what a tokenizer
+counted (``token_counts.count_tokens`` gives such lengths). A dynamic programme over the
 global histogram of sequence lengths chooses the bucket lengths that need the least padding, and
 batches of a token budget form inside each bucket.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import Scratch, slots
 
-#: Words in a sequence at most; longer texts become several sequences.
+#: Tokens in a sequence at most; longer texts become several sequences.
 MAX_TOKENS = 2048
 #: Buckets, and tokens of a batch with its padding.
 BUCKETS = 8
@@ -58,29 +59,39 @@ def best_buckets(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, n_tokens): each text's sequences; a text without words has one, of no tokens."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD)).cast("long").alias("words"))
-    last = F.greatest(F.lit(0), F.ceil(F.col("words") / max_tokens) - 1).cast("int")
-    pieces = words.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    return pieces.select("doc_id", "piece", F.least(F.col("words") - F.col("piece").cast("long") * max_tokens, F.lit(max_tokens)).cast("int").alias("n_tokens"))
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens): the words of each text."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD)).cast("long").alias("n_tokens"))
+
+
+def sequences(lengths: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(doc_id, piece, first_token, n_tokens) of texts (doc_id, n_tokens); one without tokens, or of unknown length, has one sequence of none."""
+    whole = lengths.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("whole"))
+    last = F.greatest(F.lit(0), F.ceil(F.col("whole") / max_tokens) - 1).cast("int")
+    pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("first_token", F.col("piece").cast("long") * max_tokens)
+    return pieces.select("doc_id", "piece", "first_token", F.least(F.col("whole") - F.col("first_token"), F.lit(max_tokens)).cast("int").alias("n_tokens"))
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per sequence: doc_id, piece, n_tokens, bucket_tokens, padding, batch, place.
+    """``pack_lengths`` over the words of texts; null counts as empty, other columns aren't read."""
+    return pack_lengths(word_counts(docs, id_col, text_col), max_tokens, buckets, budget)
+
+
+def pack_lengths(lengths: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """One row per sequence of the texts (doc_id, n_tokens): doc_id, piece, first_token, n_tokens, bucket_tokens, padding, batch, place.
 
-    ``bucket_tokens`` is the padded length, ``batch`` counts through all buckets from 0 and
-    ``place`` is the row inside the batch. Null and empty texts have one sequence of no tokens
-    that no batch holds (bucket_tokens, padding, batch and place are null). Repeated rows are
-    packed as often as they occur, null ids like others; other columns aren't read.
+    A sequence has its text's tokens from ``first_token`` on. ``bucket_tokens`` is the padded length, ``batch`` counts through all buckets from 0 and
+    ``place`` is the row inside the batch. A text without tokens, or of null length, has one sequence of
+    none that no batch holds (bucket_tokens, padding, batch and place are null). Repeated rows are
+    packed as often as they occur, null ids like others; an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "pack")
-    rows = scratch.save(sequences(docs, max_tokens, id_col, text_col), "sequences")
+    scratch = Scratch(lengths.sparkSession, "pack")
+    rows = scratch.save(sequences(lengths, max_tokens), "sequences")
     # at most max_tokens + 1 rows come to the driver
     histogram = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}
     bounds = best_buckets(histogram, buckets)
     if not bounds:
-        return rows.select("doc_id", "piece", "n_tokens", *[F.lit(None).cast(kind).alias(c) for c, kind in (("bucket_tokens", "int"), ("padding", "int"), ("batch", "long"), ("place", "int"))])
+        return rows.select("doc_id", "piece", "first_token", "n_tokens", *[F.lit(None).cast(kind).alias(c) for c, kind in (("bucket_tokens", "int"), ("padding", "int"), ("batch", "long"), ("place", "int"))])
     bucket, low, first, each, start = None, 0, {}, {}, 0
     for bound in bounds:
         held = sum(c for n, c in histogram.items() if low < n <= bound)
@@ -95,6 +106,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
     batches = placed.select(
         "doc_id",
         "piece",
+        "first_token",
         "n_tokens",
         "bucket_tokens",
         (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"),

@@ -8,7 +8,8 @@ sets confirm them.
 Rows with the same shingle set are one node from the start. Within a bucket of a band only the
 pairs with the bucket's first and last node are candidates, so a bucket of n nodes gives 2n pairs.
 Pairs that this leaves out matter only where they would join two components; a second round
-compares, block by block, all nodes that share a bucket but not a component.
+compares, block by block, all nodes that share a bucket but not a component. Blocks of a bucket's
+largest component meet only blocks of the others.
 """
 
 from __future__ import annotations
@@ -261,7 +262,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     its set's component and, where no id reaches it, has a null component and is kept. An empty table
     gives an empty result; other columns aren't read.
     """
-    scratch = Scratch(docs.sparkSession, "near")
+    return _grouped(docs, Scratch(docs.sparkSession, "near"), id_col, text_col).drop("text_key")
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """``near_groups``' rows with the hash that names a text beside its id."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(data).alias("text_key"), data.alias("text"))
     rows = scratch.save(texts.mapInArrow(_sketch, "doc_id long, text_key long, n long, digest binary, sketch binary"), "rows")
@@ -279,8 +284,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     member = bands.join(shared.select("key", "members"), "key").join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("part"))
     member = scratch.save(member, "member")
     open_keys = member.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    spread = member.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # nodes of a bucket's largest part needn't meet among each other: they have blocks of their own
+    held = member.join(open_keys, "key").drop("members")
+    parts_of = held.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts_of.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("all"))
+    main, rest = F.ceil(F.col("main.n") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int")
+    held = held.join(largest.select("key", F.col("main.part").alias("main"), main.alias("mains"), rest.alias("rests")), "key")
+    inside, turn, last = F.col("part") == F.col("main"), F.xxhash64("node"), F.col("mains") + F.col("rests") - 1
+    held = held.withColumn("own", F.when(inside, F.pmod(turn, "mains")).otherwise(F.col("mains") + F.pmod(turn, "rests")).cast("int"))
+    spread = held.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("mains")).otherwise(F.lit(0)), last)))
     spread = scratch.save(spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part"), "spread")
     sets = _node_sets(spread.select("node").distinct(), nodes, docs, id_col, text_col, scratch, "second")
     rest = spread.join(nodes.select("node", "sketch"), "node").join(sets, "node").select("key", "lo", "hi", "own", "node", "part", "sketch", "hashes")
@@ -292,9 +304,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lowest = parts.join(nodes.select(F.col("node").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     named = parts.join(lowest, "component").select(F.col("id").alias("node"), "component_id")
     by_set = nodes.select("node", "digest", "rep").join(named, "node", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "digest").join(by_set, "digest", "left")
+    out = rows.select("doc_id", "n", "digest", "text_key").join(by_set, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -320,5 +332,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_groups`` keeps, with all their columns."""
-    return keep_rows(docs, near_groups(docs, id_col, text_col).where("kept").select("doc_id"), id_col)
+    """The rows of ``docs`` that ``near_groups`` keeps, with all their columns.
+
+    Of rows that repeat an id with its text one stays, whichever; a null id's rows stay where no id
+    reaches them. An empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    kept = _grouped(docs, scratch, id_col, text_col).where("kept").select("doc_id", "text_key")
+    return keep_rows(docs, kept, scratch, id_col, text_col)

@@ -125,6 +125,13 @@ def test_stream(spark, tmp_path):
         if k == 0:
             incremental.discover_stream(stream, str(tmp_path / "items"), str(tmp_path / "cp"), "t").awaitTermination(120)
     last = max((tmp_path / "items").iterdir())
+    # later batches, of which the first snapshots go
+    for k, url in enumerate("defg"):
+        spark.createDataFrame([("s", url)], schema).coalesce(1).write.parquet(str(tmp_path / f"more{k}"))
+        more = spark.readStream.schema(schema).parquet(str(tmp_path / "more*"))
+        incremental.discover_stream(more, str(tmp_path / "later"), str(tmp_path / "cp2"), "t", keep=2).awaitTermination(120)
+    left = sorted((tmp_path / "later").iterdir())
+    assert len(left) == 2 and {r["original_url"] for r in spark.read.parquet(str(left[-1])).collect()} == set("defg")
     assert {r["original_url"] for r in spark.read.parquet(str(last)).collect()} == {"a", "b", "c"}
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import Scratch, slots
 
 SHARDS = 16
-#: Rounds of propagation.
-ROUNDS = 6
+#: Rounds of propagation at most; it ends before once no move is left that quotas admit.
+ROUNDS = 24
 
 
 def admitted(wishes: dict[tuple[int, int], int], free: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -50,13 +50,16 @@ def _propagate(links: DataFrame, quota: dict[int, int], shards: int, rounds: int
         best = now.groupBy("row").agg(F.max(F.struct("votes", (F.col("want") == F.col("shard")).alias("same"), (-F.col("want")).alias("less"))).alias("best"), F.first("shard").alias("shard"))
         # half of the rows may move in a round: neighbours that move at once would only change places
         may = F.pmod(F.xxhash64("row", F.lit(k)), F.lit(2)) == 0
-        movers = scratch.save(best.where(may).select("row", F.col("shard").alias("a"), (-F.col("best.less")).cast("int").alias("b")).where("a <> b"), f"movers-{k}")
-        wishes = {(r["a"], r["b"]): r["count"] for r in movers.groupBy("a", "b").count().collect()}  # shards² numbers
+        wanted = scratch.save(best.select("row", F.col("shard").alias("a"), (-F.col("best.less")).cast("int").alias("b"), may.alias("may")).where("a <> b"), f"movers-{k}")
+        counted = wanted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("all"), F.count_if("may").alias("may")).collect()  # shards² numbers
         sizes = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
-        allowed = admitted(wishes, {s: quota[s] - sizes.get(s, 0) for s in range(shards)})
+        room = lambda: {s: quota[s] - sizes.get(s, 0) for s in range(shards)}
+        if not any(admitted({(r["a"], r["b"]): r["all"] for r in counted}, room()).values()):
+            break
+        wishes = {(r["a"], r["b"]): r["may"] for r in counted if r["may"]}
+        allowed = admitted(wishes, room())
+        movers = wanted.where("may")
         if not any(allowed.values()):
-            if k > 1:
-                break
             continue
         limit = F.create_map(*[x for (a, b), n in allowed.items() for x in (F.lit(a * shards + b), F.lit(n))])[F.col("a") * shards + F.col("b")]
         moved = slots(movers, ["a", "b"], ["row"], sum(wishes.values())).where(F.col("slot") < limit).select("row", F.col("b").alias("to"))
@@ -66,14 +69,15 @@ def _propagate(links: DataFrame, quota: dict[int, int], shards: int, rounds: int
     return placed
 
 
-def shard_documents(docs: DataFrame, links: DataFrame | None = None, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, links: DataFrame | None = None, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``rows``: shards' counts are at most one apart. Rows with equal texts are linked;
     ``links`` (a, b: ids) adds links of its own. Rows without links fill what the linked leave of
     the quotas. Where a group is larger than a shard it has to be cut. Null texts count as empty,
     with size 1; rows are numbered first, so repeated rows and null ids are rows like others. An
-    empty table gives an empty result; other columns aren't read.
+    empty table gives an empty result; other columns aren't read. ``report`` receives the number of
+    links and how many of them are cut before propagation and after it.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -92,6 +96,9 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, shards: int
         edges = edges.union(own)
     edges = scratch.save(edges, "links")
     placed = _propagate(edges, quota, shards, rounds, scratch)
+    if report is not None:
+        began = rows.select("row", (F.col("row") % shards).cast("int").alias("shard"))
+        report.update(links=edges.count(), cut_before=cut_edges(began, edges), cut_after=cut_edges(placed, edges))
     left, at = {}, 0
     taken = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
     for s in range(shards):

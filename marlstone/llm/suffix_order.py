@@ -18,7 +18,7 @@ from itertools import repeat
 import numpy as np
 
 #: Bytes of queued blocks that stay in memory.
-QUEUE_BYTES = 64 << 20
+QUEUE_BYTES = 3 << 20
 
 
 class DiskQueue:
@@ -43,17 +43,19 @@ class DiskQueue:
             line = self.lines[symbol] = []
         line.append((suffixes, shared))
         self.held += suffixes.nbytes + shared.nbytes
-        while self.held > self.limit and len(self.lines) > 1:
-            self._spill(max(self.lines, key=lambda s: self.sign * s))
+        if self.held > self.limit:  # well below the limit, so that a line doesn't go out bit by bit
+            for last in sorted(self.lines, key=lambda s: self.sign * s)[:0:-1]:
+                self._spill(last)
+                if 2 * self.held <= self.limit:
+                    break
 
     def _spill(self, symbol: int) -> None:
         file = self.files.get(symbol)
         if file is None:
             file = self.files[symbol] = tempfile.TemporaryFile(dir=self.folder)
-        for block in self.lines.pop(symbol):
-            for part in block:
-                np.save(file, part)
-                self.held -= part.nbytes
+        for part in map(np.concatenate, zip(*self.lines.pop(symbol), strict=True)):
+            np.save(file, part)
+            self.held -= part.nbytes
 
     def next_symbol(self) -> int | None:
         return self.sign * self.due[0] if self.due else None

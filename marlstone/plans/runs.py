@@ -378,8 +378,8 @@ def _same_text(column):
 @query("translate_chunked", f"SELECT doc_id, 'Title ' || doc_id AS title, ['Research'] AS categories, s AS status, CASE s WHEN 'model' THEN 'echo' ELSE s END AS model, TRUE AS same FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'official-zh' WHEN {_CJK} >= 0.5 THEN 'native-zh' ELSE 'model' END AS s FROM documents)")
 def translate_chunked(spark, d):
     articles = _translatable(spark, d)
-    done = translate.translate_chunked(articles, key="doc_id").withColumnRenamed("content_markdown", "after")
-    return done.join(articles.select("doc_id", "content_markdown"), "doc_id").select("doc_id", "title", "categories", "status", "model", (F.col("error").isNull() & (_same_text(F.col("after")) == _same_text(F.col("content_markdown")))).alias("same"))
+    done = translate.translate_chunked(articles.withColumn("before", F.col("content_markdown")), key="doc_id", keep=("before",))
+    return done.select("doc_id", "title", "categories", "status", "model", (F.col("error").isNull() & (_same_text(F.col("content_markdown")) == _same_text(F.col("before")))).alias("same"))
 
 
 @query("translate_whole", f"SELECT doc_id, 'Title ' || doc_id AS title, ['Research'] AS categories, 'model' AS status, {_WHOLE_MD} AS content_markdown, CAST(NULL AS VARCHAR) AS error FROM documents")

@@ -1,12 +1,15 @@
 """Runs, payloads and the checks around them, on rows whose every case is known."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import guards as G
+from marlstone.functions import markdown as M
 from marlstone.operators import runs, translate
+from marlstone.plans import registry
 
 LONG = "word " * 60
 
@@ -190,6 +193,42 @@ def test_translate(spark):
     assert routed["2"] == "native-zh" and {r["id"]: r["status"] for r in translate.translate_routed(rows).collect()}["2"] == "model"
 
 
+def test_translate_chunked_keeps_articles_whole(spark, sf):
+    def loud(system, user):
+        sent = json.loads(user)
+        return json.dumps({"content_markdown": sent["content_markdown"].replace("text", "TEXT"), "categories": ["AI"]})
+
+    rows = spark.createDataFrame([(k, "u", "T", t, False) for k, t in (("1", "text `text`"), ("1", "# A\n\ntext\n\n# B\n\nmore text"), (None, "text $x$"))], MODEL_ROWS)
+    got = translate.translate_chunked(rows.withColumn("before", F.col("content_markdown")), loud, keep=("before",)).collect()
+    assert sorted((r["before"], r["content_markdown"], r["status"]) for r in got) == [("# A\n\ntext\n\n# B\n\nmore text", "# A\n\nTEXT\n\n# B\n\nmore TEXT", "model"), ("text $x$", "TEXT $x$", "model"), ("text `text`", "TEXT `text`", "model")]
+
+
+def test_translate_chunked_needs_no_shuffle(spark, sf):
+    """Whole texts and their chunks are neither dealt out nor sent to the driver, nor gathered ten thousand to a batch."""
+    plan = registry.QUERIES["translate_chunked"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and not any(x in plan for x in ("Exchange", "Join", "ArrowEvalPython"))
+
+
+def test_a_failed_article_is_not_asked_on(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def model(system, user):
+        with asked.open("a") as out:
+            out.write("x\n")
+        raise ValueError("no")
+
+    rows = spark.createDataFrame([("1", "u", "T", "# A\n\ntext\n\n# B\n\ntext", False)], MODEL_ROWS)
+    assert [r["error"] for r in translate.translate_chunked(rows, model).where("error is not null").collect()] == ["no"]
+    assert asked.read_text() == "x\n"
+
+
+def test_inline_marks_are_all_tried():
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choices(["`", "``", "$", "$$", "](", "[", "]", ")", "<", ">", "</a", "https://", "\\", "\n", " ", "a", "1"], k=rng.randint(0, 24)))
+        assert [(m.span(), m.lastgroup, m.groups()) for m in M._inline(text)] == [(m.span(), m.lastgroup, m.groups()) for m in M._INLINE.finditer(text)]
+
+
 def test_models_that_fail(spark):
     rows = spark.createDataFrame([("1", "u", "T", "Text `c` $x$", False)], MODEL_ROWS)
 

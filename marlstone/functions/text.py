@@ -235,6 +235,15 @@ def frontmatter(source_id: Column, original_url: Column, language: Column, origi
     return F.concat(lines, F.lit("\n"))
 
 
+def _without_end(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}+\z", "")
+
+
+def version_file(header: Column, body: Column) -> Column:
+    """A version's file: its header and, from the next line on, its text without white space at the end."""
+    return F.concat(header, _without_end(body), F.lit("\n"))
+
+
 def frontmatter_value(content: Column, key: str) -> Column:
     """One value of a file's header: JSON strings decoded, others as written; null without the key."""
     head = F.regexp_extract(content, r"^---\r?\n([\s\S]*?)\r?\n---", 1)
@@ -252,4 +261,4 @@ def frontmatter_categories(content: Column) -> Column:
 
 def body_of(content: Column) -> Column:
     """What follows a file's header, without white space at its end."""
-    return F.regexp_replace(F.regexp_replace(content, r"^---\r?\n[\s\S]*?\r?\n---\r?\n?", ""), rf"{SPACE}+$", "")
+    return _without_end(F.regexp_replace(content, r"^---\r?\n[\s\S]*?\r?\n---\r?\n?", ""))

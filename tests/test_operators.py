@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import discovery, merge, readmodel, state
+from marlstone.plans import registry
 from marlstone.sources import corpus
 from marlstone.streaming import incremental
 
@@ -116,6 +118,15 @@ def test_corpus(spark, tmp_path):
     assert corpus.registry_error(corpus.read_registry(spark, str(tmp_path / "r.json"))).first()["error"].startswith("s: homepage_url is not an http(s) address\ns: type must be")
 
 
+def test_frontmatter_roundtrip(spark, sf):
+    got = registry.QUERIES["frontmatter_roundtrip"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r["body"] == f"Body {r['doc_id']}" for r in got)
+    texts = {"a": "a", "\n a \u00a0\n\n": "\n a", "a\n---\nb\r\n": "a\n---\nb", "": "", " \n": "", "a \u0085": "a \u0085"}
+    head = T.frontmatter(*[F.lit("x")] * 6, F.array(F.lit("AI")), *[F.lit("x")] * 3, F.col("t"))
+    files = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.version_file(head, F.col("t")).alias("f"))
+    assert {r["t"]: r["b"] for r in files.select("t", T.body_of(F.col("f")).alias("b")).collect()} == texts
+
+
 def test_stream(spark, tmp_path):
     schema = "source_id string, original_url string"
     for k, urls in enumerate((["a", "b"], ["b", "c"])):

@@ -240,23 +240,23 @@ def _without_end(text: Column) -> Column:
 
 
 def version_file(header: Column, body: Column) -> Column:
-    """A version's file: its header and, from the next line on, its text without white space at the end."""
-    return F.concat(header, _without_end(body), F.lit("\n"))
+    """A version's file: its header and, from the next line on, its text without white space at the end; null counts as empty."""
+    return F.concat(header, F.coalesce(_without_end(body), F.lit("")), F.lit("\n"))
 
 
 def frontmatter_value(content: Column, key: str) -> Column:
     """One value of a file's header: JSON strings decoded, others as written; null without the key."""
     head = F.regexp_extract(content, r"^---\r?\n([\s\S]*?)\r?\n---", 1)
-    raw = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
+    raw = F.regexp_extract(head, rf"(?md)^{key}:[ \t]*(.*?)[ \t\r]*$", 1)  # d: a line ends at \n only, not at U+2028 within a value
     decoded = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
     return F.when(raw.startswith('"'), F.coalesce(decoded, raw)).otherwise(F.nullif(raw, F.lit("")))
 
 
 def frontmatter_categories(content: Column) -> Column:
     head = F.regexp_extract(content, r"^---\r?\n([\s\S]*?)\r?\n---", 1)
-    block = F.regexp_extract(head, r"(?m)^categories:[ \t]*\n((?:[ \t]+-[^\n]*(?:\n|$))+)", 1)
-    items = F.regexp_extract_all(block, F.lit(r'(?m)^[ \t]+-[ \t]*("(?:[^"\\]|\\.)*"|[^\n]*?)[ \t]*$'), F.lit(1))
-    return F.transform(items, lambda i: F.when(i.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), i, F.lit("}")), "$.v")).otherwise(i))
+    block = F.regexp_extract(head, r"(?md)^categories:[ \t]*\r?\n((?:[ \t]+-[^\n]*(?:\n|$))+)", 1)
+    items = F.regexp_extract_all(block, F.lit(r'(?md)^[ \t]+-[ \t]*("(?:[^"\\]|\\.)*"|[^\n]*?)[ \t\r]*$'), F.lit(1))
+    return F.transform(items, lambda i: F.when(i.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), i, F.lit("}")), "$.v"), i)).otherwise(i))
 
 
 def body_of(content: Column) -> Column:

@@ -127,6 +127,22 @@ def test_frontmatter_roundtrip(spark, sf):
     assert {r["t"]: r["b"] for r in files.select("t", T.body_of(F.col("f")).alias("b")).collect()} == texts
 
 
+def test_frontmatter_of_odd_values(spark, tmp_path):
+    odd = [None, "", 'q"x', "back\\slash", "l\nf", "c\rr", "\u2028ls", "a\u2028b", "a\u2029b", "a\u0085b", "\n---\n", " lead", "trail ", 'title: "x"', '\n  - "x"', "\x01\x0b", "\ufeff\u00a0"]
+    docs = [(k, v, "en") for k, v in enumerate(odd)] + [(100 + k, "s", v) for k, v in enumerate(odd)] + [(100, "s", None), (None, "s", "en")]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["frontmatter_roundtrip"](spark, str(tmp_path))
+    assert rows(got) == sorted(((k, s, None if v is None else f'q"{v}', ["AI", "Other"], None if k is None else f"Body {k}") for k, s, v in docs), key=repr)
+
+
+def test_frontmatter_with_windows_line_ends(spark):
+    text = '---\ntitle: "a\u2028b" \nversion_at: 2024-01-02\ncategories:\n  - "AI"\n  - plain\n  - "a" b\nauthor: "x"\n---\nBody\n'
+    files = spark.createDataFrame([(text,), (text.replace("\n", "\r\n"),)], "f string")
+    f = F.col("f")
+    got = files.select(T.frontmatter_value(f, "title"), T.frontmatter_value(f, "version_at"), T.frontmatter_value(f, "author"), T.frontmatter_categories(f), T.body_of(f)).collect()
+    assert [tuple(r) for r in got] == [("a\u2028b", "2024-01-02", "x", ["AI", "plain", '"a" b'], "Body")] * 2
+
+
 def test_stream(spark, tmp_path):
     schema = "source_id string, original_url string"
     for k, urls in enumerate((["a", "b"], ["b", "c"])):
